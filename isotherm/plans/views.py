@@ -28,12 +28,12 @@ FROM cell_day JOIN (VALUES ('archive', DATE '1990-01-01', DATE '2001-01-01', 0.0
 """,
     "pairs_wide": """
 SELECT concat('c', l_suppkey // 20) AS cell_key, CAST(l_shipdate AS DATE) AS date,
-       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS DOUBLE) / (count(*) * 1e7) AS era5_tmax,
-       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1e5) AS hres_tmax,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS DOUBLE) / (count(*) * 1.0007e7) AS era5_tmax,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1.0007e5) AS hres_tmax,
        CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_discount * 100) AS BIGINT) ELSE 0 END) AS DOUBLE) AS era5_precip,
        CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_tax * 100) AS BIGINT) ELSE 0 END) AS DOUBLE) AS hres_precip,
        max(l_extendedprice) / 3600 AS era5_wind,
-       max(l_extendedprice * (1 + l_tax)) / 3600 AS hres_wind
+       CAST(max(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 + CAST(round(l_tax * 100) AS BIGINT))) AS DOUBLE) / 3.7e7 AS hres_wind
 FROM lineitem GROUP BY ALL
 """,
     "pairs": "SELECT cell_key, date, era5_tmax AS era5, hres_tmax AS hres FROM pairs_wide",
