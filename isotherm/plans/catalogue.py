@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "columns")
+MODULES = ("sources", "columns", "spatial")
 
 
 def load() -> None:
