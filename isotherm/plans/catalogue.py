@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "columns", "spatial")
+MODULES = ("sources", "columns", "spatial", "joins")
 
 
 def load() -> None:
