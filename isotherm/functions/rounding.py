@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
-    """Round half to even."""
-    return F.bround(x, digits)
+    """Scale, round half to even, scale back."""
+    scale = float(10**digits)
+    return F.bround(x * scale, 0) / scale
 
 
 def half_up(x: Column, digits: int = 0) -> Column:

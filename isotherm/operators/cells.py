@@ -188,3 +188,17 @@ def tail_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 
     both = counted(before, "before").join(counted(after, "after"), "tail", "full_outer").fillna(0, ["before", "after"])
     return both.where(F.col("before") != F.col("after"))
+
+
+def stratified_sample(cells: DataFrame, k: int, key: str = "cell_key") -> DataFrame:
+    """``k`` cells spread evenly along latitude, the two ends included."""
+    ranked = global_row_number(cells, F.floor(F.col("lat") * 10), [F.col("lat"), F.col(key)], "_n")
+    total = cells.agg(F.count(F.lit(1)).alias("_total"))
+    step = (F.col("_total") - 1) / F.lit(max(k - 1, 1))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * step, 0).cast("long"))
+    return ranked.join(F.broadcast(total)).where(F.array_contains(picks, F.col("_n") - 1)).drop("_n", "_total")
+
+
+def hashed_sample(cells: DataFrame, n: int, seed: int, key: str = "cell_key") -> DataFrame:
+    """``n`` random cells, the same ones for the same seed."""
+    return cells.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), key).limit(n)

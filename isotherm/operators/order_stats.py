@@ -2,9 +2,10 @@
 
 ``percentile`` keeps a value -> count map per group, which is right for the pools the
 calendar bounds (one cell, one season). A pool over the whole table is not bounded, so
-here it is found in two passes: a histogram of at most ``slots`` rows per group says which
-slot holds the wanted rank, then only that slot's distinct values are ordered. Equal values
-are counted before the first shuffle, so a value that holds a third of the rows is one row.
+here equal values are counted first (a value that holds a third of the rows becomes one row)
+and the counts are stored. If they are few, one ordered window finds the wanted ranks. If not,
+a histogram of at most ``slots`` rows per group says which slot holds a rank, and only that
+slot's distinct values are ordered.
 """
 
 from __future__ import annotations
@@ -15,62 +16,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from isotherm.session import materialize
+
 SLOTS = 4096
+# Up to this many distinct values (counted, not guessed) one ordered window is enough.
+SMALL = 1_000_000
 
 
-def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    positions: Callable[[Column], Column],
-    slots: int = SLOTS,
-) -> DataFrame:
-    """Values at given 0-based positions of each group's sorted values.
+def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their counts as a stored table, so the input is read once."""
+    pool = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    return materialize(pool.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "values")
 
-    ``positions`` maps the group's count to an array of positions. The result has the
-    keys, ``n``, ``i`` (index into the array) and ``v``.
-    """
-    keys = list(keys)
-    pool = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *keys, F.col(value).cast("double").alias("_v")
-    )
+
+def _in_one_window(counted: DataFrame, keys: list[str], positions: Callable[[Column], Column]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = counted.withColumn("_skip", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("n", F.sum("_c").over(group))
+    wanted = F.posexplode(positions(F.col("n"))).alias("i", "_pos")
+    hit = (F.col("_pos") >= F.col("_skip")) & (F.col("_pos") < F.col("_skip") + F.col("_c"))
+    return ordered.select(*keys, "n", "_v", "_skip", "_c", wanted).where(hit).select(*keys, "n", "i", F.col("_v").alias("v"))
+
+
+def _in_slots(counted: DataFrame, keys: list[str], positions: Callable[[Column], Column], slots: int) -> DataFrame:
     if not keys:
-        keys = ["_all"]
-        pool = pool.withColumn("_all", F.lit(1))
-    counted = pool.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    span = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n")
-    )
+        counted = counted.withColumn("_all", F.lit(1))
+    by = keys or ["_all"]
+    span = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
     scaled = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots)
     slot = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.lit(slots - 1), scaled))
-    slotted = counted.join(span, keys).select(*keys, "_v", "_c", slot.cast("int").alias("_slot"))
-    below = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slotted = counted.join(span, by).select(*by, "_v", "_c", slot.cast("int").alias("_slot"))
+    below = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     histogram = (
-        slotted.groupBy(*keys, "_slot")
+        slotted.groupBy(*by, "_slot")
         .agg(F.sum("_c").alias("_m"))
         .withColumn("_start", F.coalesce(F.sum("_m").over(below), F.lit(0)))
     )
-    wanted = span.select(*keys, "n", F.posexplode(positions(F.col("n"))).alias("i", "_pos"))
-    located = wanted.join(histogram, keys).where(
+    wanted = span.select(*by, "n", F.posexplode(positions(F.col("n"))).alias("i", "_pos"))
+    located = wanted.join(histogram, by).where(
         (F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_m"))
     )
-    before = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = (
-        slotted.join(located.select(*keys, "_slot").distinct(), [*keys, "_slot"], "left_semi")
-        .withColumn("_skip", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    before = Window.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = slotted.join(located.select(*by, "_slot").distinct(), [*by, "_slot"], "left_semi").withColumn(
+        "_skip", F.coalesce(F.sum("_c").over(before), F.lit(0))
     )
     offset = F.col("_pos") - F.col("_start")
-    out = located.join(ordered, [*keys, "_slot"]).where(
+    out = located.join(ordered, [*by, "_slot"]).where(
         (offset >= F.col("_skip")) & (offset < F.col("_skip") + F.col("_c"))
     )
-    return out.select(*[k for k in keys if k != "_all"], "n", "i", F.col("_v").alias("v"))
+    return out.select(*keys, "n", "i", F.col("_v").alias("v"))
+
+
+def order_statistics(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    positions: Callable[[Column], Column],
+    slots: int = SLOTS,
+    small: int = SMALL,
+) -> DataFrame:
+    """Values at given 0-based positions of each group's sorted values.
+
+    ``positions`` maps the group's count to an array of positions. The result has the
+    keys, ``n``, ``i`` (index into the array) and ``v``.
+    """
+    keys = list(keys)
+    counted = _value_counts(df, keys, value)
+    if counted.count() <= small:
+        return _in_one_window(counted, keys, positions)
+    return _in_slots(counted, keys, positions, slots)
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q"
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q", small: int = SMALL
 ) -> DataFrame:
     """Linear-interpolation quantiles, exact: keys, ``n`` and an array column ``name``."""
     keys = list(keys)
+    counted = _value_counts(df, keys, value)
+    if counted.count() <= small:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        found = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile("_v", levels, F.col("_c")).alias(name))
+        return found.where("n IS NOT NULL")
 
     def neighbours(n: Column) -> Column:
         wanted = []
@@ -79,7 +105,7 @@ def quantiles(
             wanted += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
         return F.array(*wanted)
 
-    found = order_statistics(df, keys, value, neighbours)
+    found = _in_slots(counted, keys, neighbours, SLOTS)
     pairs = found.groupBy(*keys).agg(
         F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "columns", "spatial", "joins", "climatology")
+MODULES = ("sources", "columns", "spatial", "joins", "climatology", "evaluation")
 
 
 def load() -> None:

@@ -8,17 +8,16 @@ means off decimal ties, where rounding conventions would differ.
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isotherm.functions import bands, calendar
+from isotherm.functions import bands
 from isotherm.functions.rounding import half_up
 from isotherm.schemas import BAND_COLUMNS, LEVELS
-from isotherm.session import ensure_checkpoint_dir
+from isotherm.session import materialize, staging_path
 
 SUPPLIERS_PER_CELL = 20
 USERS_PER_SITE = 75
@@ -291,14 +290,11 @@ class Tables:
 
     @cached_property
     def roles(self) -> DataFrame:
-        """Pairs with season, forecast version, labels and the blocked split."""
+        """Pairs with season, forecast version, labels and the blocked split, as a stored frame."""
         from isotherm.operators import pairs as ops
 
-        return ops.blocked_split(
-            ops.tail_labels(ops.with_versions(ops.with_bias(self.pairs)).withColumn(
-                "season", calendar.calendar_season(F.col("date"))
-            ))
-        )
+        labelled = ops.tail_labels(ops.with_versions(ops.with_bias(self.pairs)))
+        return materialize(ops.blocked_split(labelled), "roles")
 
     @cached_property
     def wet_pairs(self) -> DataFrame:
@@ -312,4 +308,4 @@ class Tables:
 
     def staging(self, name: str) -> str:
         """A fresh folder for a table this query writes and reads back."""
-        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex[:12]}"
+        return staging_path(self.spark, name)

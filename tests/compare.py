@@ -88,7 +88,7 @@ def main(argv: list[str]) -> int:
             problems = [f"{type(error).__name__}: {str(error)[:900]}"]
         failed += bool(problems)
         kind = "sql" if REGISTRY[name].sql else "rows"
-        print(f"{'FAIL' if problems else 'ok  '} {name} [{kind}] {time.time() - t0:.1f}s", *problems, sep="\n  " if problems else " ")
+        print(f"{'FAIL' if problems else 'ok  '} {name} [{kind}] {time.time() - t0:.1f}s", *problems, sep="\n  " if problems else " ", flush=True)
     print(f"{len(names) - failed}/{len(names)} match")
     return bool(failed)
 
