@@ -214,3 +214,9 @@ def refresh_recent(first_missing: DataFrame, today: Column, expired: Column, fro
     """Heal an old hole at once; extend the tail only when the tier has expired."""
     tail_only = F.col("first_missing") > F.date_sub(today, frontier_days)
     return first_missing.withColumn("tail_only", tail_only).withColumn("refresh", ~tail_only | expired)
+
+
+def degenerate(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Histories without any value, or with no spread at all."""
+    spread = rows.groupBy(*keys).agg(F.count(value).alias("days"), F.stddev_samp(value).alias("_sd"))
+    return spread.where((F.col("days") == 0) | (F.col("_sd") < 1e-6)).drop("_sd")

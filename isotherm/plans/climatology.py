@@ -12,6 +12,7 @@ from isotherm.operators import pools, shuffles, tiers
 from isotherm.plans.columns import SEASON_SQL, TARGET, in_window, target
 from isotherm.plans.registry import query
 from isotherm.schemas import BAND_COLUMNS, LEVELS
+from isotherm.session import materialize
 
 COMPARABLE = f"NOT (tier = 'forecast' AND date > DATE '{TARGET}')"
 
@@ -403,7 +404,10 @@ CLAIM_SQL = f"""{POOL_SQL}, e AS MATERIALIZED (SELECT *, {_cut('s', 'n', 'cut',
 
 
 def claims(db):
-    rows = pools.card_claims(eval_pools(db), F.col("truth"), F.col("mid")).where("claimed_p IS NOT NULL")
+    made = pools.card_claims(eval_pools(db), F.col("truth"), F.col("mid"))
+    # stored: a filter on the claim would otherwise be inlined, with all its pools, into every plan below
+    kept = ["cell_key", "date", "truth", "hres", *BAND_COLUMNS, "tier", "claimed_p", "hit"]
+    rows = materialize(made.select(*kept), "claims").where("claimed_p IS NOT NULL")
     chance = F.round("claimed_p", 6)
     shown = F.least(F.lit(95), F.floor(chance * 20 + 0.5) * 5).cast("int")
     return rows.withColumn("claimed_p", chance).withColumn("displayed", shown)

@@ -746,8 +746,8 @@ def tier_level_coverage(db):
 
 @query(
     "gates",
-    f"""WITH {CLAIM_SQL}, b AS (SELECT * FROM {_reliability('claims', 'claimed_p')}), t AS (SELECT * FROM {TIER_SQL}),
-      x AS (SELECT (SELECT 100 * sum(n * abs(realized - mean_claim)) / sum(n) FROM b) AS e, (SELECT count_if(n >= 50 AND abs(gap_pp) > 5 AND NOT diag_in) FROM b) AS f, (SELECT count_if(n >= 50 AND gap_pp < -5) FROM t) AS s)
+    f"""WITH {CLAIM_SQL}, bn AS (SELECT * FROM {_reliability('claims', 'claimed_p')}), tr AS (SELECT * FROM {TIER_SQL}),
+      x AS (SELECT (SELECT 100 * sum(n * abs(realized - mean_claim)) / sum(n) FROM bn) AS e, (SELECT count_if(n >= 50 AND abs(gap_pp) > 5 AND NOT diag_in) FROM bn) AS f, (SELECT count_if(n >= 50 AND gap_pp < -5) FROM tr) AS s)
       SELECT R6(e) AS ece_pp, f AS bins_failing, s AS tiers_sagging, CASE WHEN e <= 3 AND f = 0 AND s = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM x""",
 )
 def gates(db):
