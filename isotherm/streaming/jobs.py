@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from isotherm.operators import tiers
 from isotherm.operators.daily import HOURS_PER_DAY, to_daily_units
@@ -120,44 +120,33 @@ def pending_work(wanted: DataFrame, ledger: DataFrame, signature: str) -> DataFr
     return wanted.join(done, ["cell_key", "first_year", "last_year"], "left_anti")
 
 
-class FreshnessProcessor(StatefulProcessor):
-    """Keeps the last update per cell and tier and reports when it is older than its limit."""
-
-    def __init__(self, ttl_hours: dict[str, int]):
-        self.ttl_ms = {tier: hours * 3_600_000 for tier, hours in ttl_hours.items()}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "updated_ms LONG")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        newest = max(int(frame["updated_ms"].max()) for frame in rows)
-        known = self.last.get()[0] if self.last.exists() else 0
-        if newest > known:
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.ttl_ms[key[1]])
-        yield pd.DataFrame({"cell_key": [], "tier": [], "expired_ms": []})
-
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        due = expired_timer_info.get_expiry_time_in_ms()
-        if self.last.exists() and self.last.get()[0] + self.ttl_ms[key[1]] <= due:
-            yield pd.DataFrame({"cell_key": [key[0]], "tier": [key[1]], "expired_ms": [due]})
-
-    def close(self) -> None:
-        pass
-
-
 def expired_tiers(updates: DataFrame, ttl_hours: dict[str, int]) -> DataFrame:
     """Live staleness: one row whenever a cell's tier outlives its limit without an update.
 
-    ``updates`` carry ``cell_key``, ``tier``, ``updated_ms`` and a watermarked ``ts``.
+    ``updates`` carry ``cell_key``, ``tier``, ``updated_ms`` and a watermarked ``ts``. The
+    state is one number per cell and tier.
     """
-    return updates.groupBy("cell_key", "tier").transformWithStateInPandas(
-        statefulProcessor=FreshnessProcessor(ttl_hours),
-        outputStructType="cell_key STRING, tier STRING, expired_ms LONG",
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="ts",
+    limits = {tier: hours * 3_600_000 for tier, hours in ttl_hours.items()}
+
+    def watch(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cell, tier = key
+        if state.hasTimedOut:
+            due = state.get[0] + limits[tier]
+            state.remove()
+            yield pd.DataFrame({"cell_key": [cell], "tier": [tier], "expired_ms": [due]})
+            return
+        newest = max(int(frame["updated_ms"].max()) for frame in frames)
+        if state.exists:
+            newest = max(newest, state.get[0])
+        due = newest + limits[tier]
+        if due <= state.getCurrentWatermarkMs():
+            yield pd.DataFrame({"cell_key": [cell], "tier": [tier], "expired_ms": [due]})
+        else:
+            state.update((newest,))
+            state.setTimeoutTimestamp(due)
+
+    return updates.groupBy("cell_key", "tier").applyInPandasWithState(
+        watch, "cell_key STRING, tier STRING, expired_ms LONG", "updated_ms LONG", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
