@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from isotherm.functions import bands as band_fn
 from isotherm.functions import calendar
@@ -98,23 +99,21 @@ def pct_higher(db):
 
 @query(
     "context_bucket",
-    f"""WITH d AS (SELECT * FROM cell_day WHERE year(date) = 2000), p AS (SELECT cell_key, month(date) AS mo, precip_mm FROM cell_day WHERE tier = 'archive'),
+    f"""WITH d AS (SELECT * FROM cell_day), p AS (SELECT cell_key, month(date) AS mo, precip_mm FROM cell_day WHERE tier = 'archive'),
       s AS (SELECT d.cell_key, d.date, d.precip_mm, 100.0::DOUBLE * count_if(p.precip_mm > d.precip_mm) / count(*) AS a FROM d JOIN p ON d.cell_key = p.cell_key AND month(d.date) = p.mo GROUP BY 1, 2, 3)
       SELECT cell_key, date, CASE WHEN precip_mm = 0 THEN 'driest' WHEN 100 - a <= 5 THEN 'extreme_low' WHEN a <= 5 THEN 'extreme_high' WHEN 100 - a <= 10 THEN 'strong_low' WHEN a <= 10 THEN 'strong_high'
              WHEN 100 - a <= 20 THEN 'mild_low' WHEN a <= 20 THEN 'mild_high' ELSE 'normal' END AS bucket FROM s""",
 )
 def context_bucket(db):
-    from pyspark.sql.window import Window
-
     # equal values of a month share one row, and a running count replaces any pairing of days
     month = F.month("date").alias("mo")
     pool = db.cell_day.where("tier = 'archive'").groupBy("cell_key", month, "precip_mm").agg(F.count(F.lit(1)).alias("_n"))
-    asked = db.cell_day.where(F.year("date") == 2000).select("cell_key", month, "precip_mm").distinct().withColumn("_n", F.lit(0).cast("long"))
+    asked = db.cell_day.select("cell_key", month, "precip_mm").distinct().withColumn("_n", F.lit(0).cast("long"))
     steps = pool.unionByName(asked).groupBy("cell_key", "mo", "precip_mm").agg(F.sum("_n").alias("_n"))
     above = Window.partitionBy("cell_key", "mo").orderBy(F.col("precip_mm").desc()).rowsBetween(Window.unboundedPreceding, -1)
     share = 100.0 * F.coalesce(F.sum("_n").over(above), F.lit(0)) / F.sum("_n").over(Window.partitionBy("cell_key", "mo"))
     shares = steps.withColumn("a", share).drop("_n")
-    days = db.cell_day.where(F.year("date") == 2000).select("cell_key", "date", month, "precip_mm")
+    days = db.cell_day.select("cell_key", "date", month, "precip_mm")
     return days.join(shares, ["cell_key", "mo", "precip_mm"]).select(
         "cell_key", "date", pools.context_bucket(F.col("a"), F.col("precip_mm"), "precip").alias("bucket")
     )
@@ -279,6 +278,11 @@ def exceed_days(db):
     return clim.exceed_days(db.cell_day, "tmax_C", 45.0)
 
 
+@query("yearly_max", "SELECT cell_key, CAST(year(date) AS INT) AS year, max(wind_max_ms) AS highest FROM cell_day GROUP BY 1, 2")
+def yearly_max(db):
+    return clim.exceed_days(db.cell_day, "wind_max_ms", 0.0).select("cell_key", "year", "highest")
+
+
 EARLY, LATE = (1995, 1997), (1998, 2000)
 _WEEK = f"least(51, {_DOY} // 7)"
 WEEK_ROWS = f"(SELECT cell_key, CAST(year(date) AS INT) AS y, {_WEEK} AS w, tmax_C AS v FROM cell_day WHERE tier = 'archive' AND year(date) BETWEEN 1995 AND 2000)"

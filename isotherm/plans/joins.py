@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isotherm.functions import derive
 from isotherm.functions.rounding import half_up, r6
 from isotherm.operators import calibrate, cells, daily, pairs, pools, tiers
+from isotherm.operators.keyed import top_row
 from isotherm.plans.registry import query
 from isotherm.schemas import DELTA_COLUMNS
 
@@ -289,15 +290,15 @@ def feed_gap(db):
 
 
 MOVERS_SQL = """(SELECT c.cell_id, c.name, c.population, c.lat, c.lon,
-    CASE WHEN c.cell_id % 20 = 0 THEN n.lat ELSE floor(c.lat / 30) * 30 + 0.1 END AS new_lat,
-    CASE WHEN c.cell_id % 20 = 0 THEN n.lon ELSE floor(c.lon / 60) * 60 + 0.1 END AS new_lon, c.population % 4000 / 100.0::DOUBLE AS snap_km
-  FROM cells c JOIN cells n ON n.cell_id = c.cell_id + 1 WHERE c.cell_id % 10 = 0)"""
+    CASE WHEN c.population < 60000 THEN n.lat ELSE floor(c.lat / 30) * 30 + 0.1 END AS new_lat,
+    CASE WHEN c.population < 60000 THEN n.lon ELSE floor(c.lon / 60) * 60 + 0.1 END AS new_lon, c.population % 4000 / 100.0::DOUBLE AS snap_km
+  FROM cells c JOIN cells n ON n.cell_id = c.cell_id + 1 WHERE c.population < 150000)"""
 
 
 def movers(db):
     nxt = db.cells.select((F.col("cell_id") - 1).alias("cell_id"), F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"))
-    onto = F.col("cell_id") % 20 == 0
-    return db.cells.where(F.col("cell_id") % 10 == 0).join(nxt, "cell_id").select(
+    onto = F.col("population") < 60000
+    return db.cells.where("population < 150000").join(nxt, "cell_id").select(
         "cell_id", "name", "population", "lat", "lon",
         F.when(onto, F.col("_nlat")).otherwise(F.floor(F.col("lat") / 30) * 30 + 0.1).alias("new_lat"),
         F.when(onto, F.col("_nlon")).otherwise(F.floor(F.col("lon") / 60) * 60 + 0.1).alias("new_lon"),
@@ -451,6 +452,11 @@ def dedupe_last(db):
     return tiers.dedupe_last(db.tier_rows.select("cell_key", "date", "tmax_C"), ["cell_key", "date"], "tmax_C")
 
 
+@query("best_per_group", "SELECT country, cell_id, population FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY population DESC, cell_id) AS rn FROM cells) WHERE rn = 1")
+def best_per_group(db):
+    return top_row(db.cells.select("country", "cell_id", "population"), ["country"], [F.col("population"), -F.col("cell_id")])
+
+
 @query("common_dates", "SELECT cell_key, date FROM tier_rows WHERE tier = 'recent' INTERSECT SELECT cell_key, date FROM tier_rows WHERE tier = 'forecast'")
 def common_dates(db):
     return tiers.common_dates(db.tier_rows.where("tier = 'recent'"), db.tier_rows.where("tier = 'forecast'"))

@@ -196,3 +196,19 @@ def test_bilinear_lookup_clamps_and_wraps(spark):
     got = {r["id"]: r["dmid"] for r in calibrate.bilinear_lookup(requests.drop("want"), surface, ["id"]).collect()}
     for i, *_, want in asks:
         assert abs(got[i] - want) < 1.0
+
+
+def test_region_is_spliced_only_into_shared_labels(spark):
+    rows = [(1, 0.0, 0.0, 5, "Springfield", "Illinois"), (2, 1.0, 1.0, 9, "Springfield", "Ohio"), (3, 2.0, 2.0, 1, "Cairo", "Cairo"), (4, 3.0, 3.0, 1, "Springfield", "")]
+    df = spark.createDataFrame(rows, "cell_id LONG, lat DOUBLE, lon DOUBLE, population LONG, name STRING, admin STRING")
+    got = {r["cell_id"]: r["unique_name"] for r in cells.unique_names(df, "name", region="admin").collect()}
+    assert got == {1: "Springfield, Illinois", 2: "Springfield, Ohio", 3: "Cairo", 4: "Springfield"}
+
+
+def test_cell_list_invariants(spark):
+    rows = [(1, 0.0, 0.0, "A, Chad (NW)"), (2, 0.0, 0.0, "B, Chad"), (3, 1.0, 0.0, "C, Mali")]
+    df = spark.createDataFrame(rows, "cell_id LONG, lat DOUBLE, lon DOUBLE, name STRING")
+    assert cells.shared_coordinates(df).count() == 1
+    assert cells.tail_counts(df, df).isEmpty()
+    changed = df.withColumn("name", F.when(F.col("cell_id") == 3, "C, Chad").otherwise(F.col("name")))
+    assert {(r["tail"], r["before"], r["after"]) for r in cells.tail_counts(df, changed).collect()} == {("Chad", 2, 3), ("Mali", 1, 0)}
