@@ -24,7 +24,7 @@ SHINGLE = 5
 #: J >= 4/5 for sets of n and m with overlap o: 9 o >= 4 (n + m)
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
-WHITE = " \t\n\x0b\f\r"
+WHITE = " \t\x0b\f\r\n"
 #: bits of the filter that picks the documents of candidate lines; 512 KB whatever the corpus
 FILTER_BITS = 1 << 22
 
@@ -34,8 +34,19 @@ def split_lines(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """Lower-cased words of a line that has any."""
-    return F.split(F.btrim(F.lower(line), F.lit(WHITE)), r"[\x20\x09-\x0D]+")
+    """Lower-cased words of a line that has any.
+
+    A split at one plain character needs no regular expression, which makes it several times faster.
+    """
+    spaced = F.lower(line)
+    for c in WHITE[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def shingle_at(words: Column, i: Column) -> Column:
+    """64-bit hash of the shingle that starts at word ``i`` (from 0); words behind the end of a short line count as nothing."""
+    return F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
@@ -43,8 +54,8 @@ def with_shingles(lines: DataFrame) -> DataFrame:
 
     The words are a column of their own, so they are split once for a line and not once for a shingle.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)))
-    hashed = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, SHINGLE))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    hashed = F.array_distinct(F.transform(starts, lambda i: shingle_at(F.col("words"), i)))
     return lines.withColumn("words", words_of(F.col("line"))).withColumn("tokens", hashed).drop("words")
 
 
@@ -57,8 +68,10 @@ def by_line(docs: DataFrame) -> DataFrame:
 
 def rarity(lines: DataFrame) -> Column:
     """The rank of each bucket by the number of shingles in it, as one array constant, -2048 for the rarest."""
-    # explode_outer: a plain explode infers a filter on the array and would make it twice
-    buckets = with_shingles(lines.select("line")).select(F.explode_outer(F.transform("tokens", lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)))).alias("bucket"))
+    # one row for a shingle, so that hashing and counting are compiled as one loop
+    words = lines.select(words_of(F.col("line")).alias("words"))
+    each = words.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
+    buckets = each.select(shingle_at(F.col("words"), F.col("i")).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["bucket"]: r["n"] for r in counted.collect()}  # 4,096 numbers
     order = sorted(range(BUCKETS), key=lambda b: (sizes.get(b, 0), b))
@@ -137,7 +150,7 @@ def _verified(docs: DataFrame, rank: Column, pairs: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
     chosen = with_bit.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
-    own = by_line(chosen).join(involved, list(PLACE), "left_semi").distinct()
+    own = by_line(chosen).join(involved, list(PLACE), "left_semi")
     whole = with_shingles(own).select(F.struct(*PLACE).alias("p"), ordered(F.col("tokens"), rank).alias("keys"))
     a, b = whole.select(F.col("p").alias("a"), F.col("keys").alias("a_keys")), whole.select(F.col("p").alias("b"), F.col("keys").alias("b_keys"))
     both = pairs.join(a, "a").join(b, "b")
