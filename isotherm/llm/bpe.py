@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 from itertools import pairwise
 
@@ -25,8 +26,10 @@ from isotherm.llm.common import map_batches, texts
 
 # fixed value: the pre-token pattern of the byte-level vocabulary
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: remembered pre-tokens per task; the memory is dropped and begun anew when it is full
-MEMORY = 200_000
+#: white space of either regular-expression library, twice in a row
+TWO_SPACES = re.compile(r"\s\s")
+#: remembered words per worker; the memory is dropped and begun anew when it is full
+MEMORY = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -100,7 +103,18 @@ class ByteBPE:
                     heapq.heappush(heap, (found[0], a, found[1], (ids[a], ids[b])))
         return [i for i, kept in zip(ids, alive) if kept]
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a piece of text that no pre-token crosses: pre-tokens, then fragments, then merges."""
+        ids = tuple(i for token in self.pattern.findall(word) for f in self.fragments(token.encode()) for i in self.merge(f))
+        if len(self.memory) >= MEMORY:
+            self.memory.clear()
+        if len(word) <= 64:
+            self.memory[word] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
+        """Ids of a text. A pre-token never goes on from a letter into white space, so where no two white spaces meet each
+        space begins a word of its own, and words are looked up whole."""
         out: list[int] = []
         memory, special = self.memory, self.specials
         parts = self.split_specials.split(text) if self.split_specials and any(s in text for s in special) else (text,)
@@ -108,15 +122,14 @@ class ByteBPE:
             if part in special:
                 out.append(special[part])
                 continue
-            for word in self.pattern.findall(part):
+            if TWO_SPACES.search(part):
+                words = self.pattern.findall(part)
+            else:
+                first, *rest = part.split(" ")
+                words = [first, *[" " + w for w in rest]]
+            for word in words:
                 ids = memory.get(word)
-                if ids is None:
-                    ids = tuple(i for f in self.fragments(word.encode()) for i in self.merge(f))
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    if len(word) <= 64:
-                        memory[word] = ids
-                out += ids
+                out += self._word(word) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
