@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from functools import lru_cache
 from itertools import pairwise
 
@@ -26,10 +25,10 @@ from isotherm.llm.common import map_batches, texts
 
 # fixed value: the pre-token pattern of the byte-level vocabulary
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: white space of either regular-expression library, twice in a row
-TWO_SPACES = re.compile(r"\s\s")
-#: remembered words per worker; the memory is dropped and begun anew when it is full
-MEMORY = 400_000
+#: the rank of a pair that no merge joins
+NEVER = 1 << 60
+#: remembered pre-tokens per worker; the memory is dropped and begun anew when it is full
+MEMORY = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -55,6 +54,8 @@ class ByteBPE:
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = (as_bytes(x) for x in (merge if isinstance(merge, list) else merge.split(" ")))
             self.ranks.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
+        self.rank_of = {pair: rank for pair, (rank, _) in self.ranks.items()}
+        self.joined = {rank: token for rank, token in self.ranks.values()}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.joinable = {pair for token in self.ids for pair in pairwise(token)}
         self.pattern = regex.compile(PRE_TOKEN)
@@ -78,12 +79,19 @@ class ByteBPE:
             return [whole]
         ids, ranks = [self.byte_ids[b] for b in fragment], self.ranks
         if len(ids) <= 48:
-            while len(ids) > 1:
-                best = min(((ranks[p], k) for k, p in enumerate(pairwise(ids)) if p in ranks), default=None)
-                if best is None:
+            get = self.rank_of.get
+            order = [get(p, NEVER) for p in pairwise(ids)]
+            while order:
+                least = min(order)
+                if least == NEVER:
                     break
-                (_, joined), k = best
-                ids[k : k + 2] = [joined]
+                k = order.index(least)
+                ids[k : k + 2] = [self.joined[least]]
+                del order[k]
+                if k:
+                    order[k - 1] = get((ids[k - 1], ids[k]), NEVER)
+                if k < len(order):
+                    order[k] = get((ids[k], ids[k + 1]), NEVER)
             return ids
         count = len(ids)
         after, before, alive = list(range(1, count + 1)), list(range(-1, count - 1)), [True] * count
@@ -103,18 +111,16 @@ class ByteBPE:
                     heapq.heappush(heap, (found[0], a, found[1], (ids[a], ids[b])))
         return [i for i, kept in zip(ids, alive) if kept]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a piece of text that no pre-token crosses: pre-tokens, then fragments, then merges."""
-        ids = tuple(i for token in self.pattern.findall(word) for f in self.fragments(token.encode()) for i in self.merge(f))
+    def _token(self, token: str) -> tuple[int, ...]:
+        """Ids of a pre-token: fragments, then merges. Short ones are remembered, so a full memory has a fixed size."""
+        ids = tuple(i for f in self.fragments(token.encode()) for i in self.merge(f))
         if len(self.memory) >= MEMORY:
             self.memory.clear()
-        if len(word) <= 64:
-            self.memory[word] = ids
+        if len(token) <= 64:
+            self.memory[token] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text. A pre-token never goes on from a letter into white space, so where no two white spaces meet each
-        space begins a word of its own, and words are looked up whole."""
         out: list[int] = []
         memory, special = self.memory, self.specials
         parts = self.split_specials.split(text) if self.split_specials and any(s in text for s in special) else (text,)
@@ -122,14 +128,9 @@ class ByteBPE:
             if part in special:
                 out.append(special[part])
                 continue
-            if TWO_SPACES.search(part):
-                words = self.pattern.findall(part)
-            else:
-                first, *rest = part.split(" ")
-                words = [first, *[" " + w for w in rest]]
-            for word in words:
-                ids = memory.get(word)
-                out += self._word(word) if ids is None else ids
+            for token in self.pattern.findall(part):
+                ids = memory.get(token)
+                out += self._token(token) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
