@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isotherm.functions.geo import solar_offset
+from isotherm.functions.rounding import half_even
 
 HOURS_PER_DAY = 24
 RESET_HOUR = 1
@@ -61,12 +62,12 @@ def daily_metrics(df: DataFrame, key: str = "cell_key", complete_only: bool = Tr
 
 
 def to_daily_units() -> list[Column]:
-    """Kelvin to Celsius and metres to millimetres, three decimals."""
+    """Kelvin to Celsius and metres to millimetres, three decimals, halves to even."""
     return [
-        F.round(F.col("_hi") - 273.15, 3).alias("tmax_C"),
-        F.round(F.col("_lo") - 273.15, 3).alias("tmin_C"),
-        F.round(F.col("_rain") * 1000, 3).alias("precip_mm"),
-        F.round(F.col("_wind"), 3).alias("wind_max_ms"),
+        half_even(F.col("_hi") - 273.15, 3).alias("tmax_C"),
+        half_even(F.col("_lo") - 273.15, 3).alias("tmin_C"),
+        half_even(F.col("_rain") * 1000, 3).alias("precip_mm"),
+        half_even(F.col("_wind"), 3).alias("wind_max_ms"),
     ]
 
 

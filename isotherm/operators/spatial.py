@@ -14,11 +14,10 @@ from isotherm.functions.rounding import half_up, snap
 from isotherm.operators.keyed import top_row
 from isotherm.operators.nearest import Plane, Sphere, nearest
 
-# Naming radii, population ratio, neighbours looked at, and the far limit.
+# Naming radii and population ratio.
 PROMINENCE_KM = 8.0
 PARENT_KM = 12.0
 PARENT_RATIO = 4.0
-NEIGHBOURS = 20
 
 
 def as_places(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -87,11 +86,11 @@ def place_lookup(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.join(names, ["lat", "lon"], "left")
 
 
-def name_cells(cells: DataFrame, places: DataFrame) -> DataFrame:
+def name_cells(cells: DataFrame, places: DataFrame, k: int | None = None) -> DataFrame:
     """Name every cell after a place: the most populous within 8 km, else the nearest.
 
-    A much larger place of another name within 12 km is added as the parent. Only the 20
-    nearest places of a cell, by projected distance, are considered.
+    A much larger place of another name within 12 km is added as the parent. ``k`` limits
+    the places of a cell that are considered to its nearest, by projected distance; by default all in reach are.
     """
     spots = cells.select("cell_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
     towns = places.select(
@@ -102,7 +101,9 @@ def name_cells(cells: DataFrame, places: DataFrame) -> DataFrame:
     order = Window.partitionBy("cell_id").orderBy(
         geo.projected_km(F.col("y"), F.col("x"), F.col("py"), F.col("px")), "place_id"
     )
-    close = close.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= NEIGHBOURS)
+    close = close.withColumn("_rank", F.row_number().over(order))
+    if k is not None:
+        close = close.where(F.col("_rank") <= k)
     prominent = close.where(F.col("km") <= PROMINENCE_KM)
     chosen = top_row(
         prominent.select("cell_id", "place_id", "town", "people", "cc", "km", "_rank"), ["cell_id"], [F.col("people"), -F.col("_rank")]

@@ -74,8 +74,8 @@ def convert_units(db):
 
 @query(
     "derive_daily_units",
-    """SELECT cell_key, CAST(ts AS DATE) AS date, R6(round(max(t2m) - 273.15, 3)) AS tmax_C, R6(round(min(t2m) - 273.15, 3)) AS tmin_C,
-              R6(round(max(sqrt(u10 * u10 + v10 * v10)), 3)) AS wind_max_ms, count(*) AS hours
+    """SELECT cell_key, CAST(ts AS DATE) AS date, R6((round_even((max(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE)) AS tmax_C, R6((round_even((min(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE)) AS tmin_C,
+              R6((round_even((max(sqrt(u10 * u10 + v10 * v10))) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE)) AS wind_max_ms, count(*) AS hours
        FROM hourly GROUP BY 1, 2""",
 )
 def derive_daily_units(db):

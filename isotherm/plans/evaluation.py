@@ -556,7 +556,7 @@ def model_rows(db):
 def fit_point_model(db):
     """Median head by boosted trees: error on the held-out days, raw and corrected."""
     rows = model_rows(db)
-    model = models.fit_point_model(rows.where("role = 'train'"), rounds=10)
+    model = models.fit_point_model(rows.where("role = 'train'"))
     fixed = model.transform(rows.where("role = 'test'")).withColumn("corrected", F.col("hres") + F.col("point"))
     return ev.per_cell_scores(fixed, "era5", "hres", "corrected")
 

@@ -374,8 +374,8 @@ def quantile_map(db):
 
 DAILY_SQL = """(WITH i AS (SELECT cell_key, ts, t2m, sqrt(u10 * u10 + v10 * v10) AS wind,
       greatest(coalesce(CASE WHEN hour(ts) = 1 THEN tp ELSE tp - lag(tp) OVER (PARTITION BY cell_key, CAST(ts - INTERVAL 1 HOUR AS DATE) ORDER BY ts) END, 0), 0) AS incr FROM hourly)
-   SELECT cell_key, CAST(ts + INTERVAL (off) HOUR AS DATE) AS date, round(max(t2m) - 273.15, 3) AS tmax_C, round(min(t2m) - 273.15, 3) AS tmin_C,
-          round(sum(incr) * 1000, 3) AS precip_mm, round(max(wind), 3) AS wind_max_ms, count(*) AS hours
+   SELECT cell_key, CAST(ts + INTERVAL (off) HOUR AS DATE) AS date, (round_even((max(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS tmax_C, (round_even((min(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS tmin_C,
+          (round_even((sum(incr) * 1000) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS precip_mm, (round_even((max(wind)) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS wind_max_ms, count(*) AS hours
    FROM (SELECT i.*, CAST(round_even(lon / 15, 0) AS INT) AS off FROM i JOIN static s ON s.cell_key = i.cell_key) GROUP BY 1, 2 HAVING count(*) = 24)"""
 
 

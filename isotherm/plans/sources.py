@@ -117,7 +117,7 @@ def explode_daily(db):
 
 @query("scan_hits", "SELECT event_id, ts, visitor, kind, page, country FROM hits ORDER BY ts DESC, event_id DESC LIMIT 50000")
 def scan_hits(db):
-    return hits.newest(db.hits.select("event_id", "ts", "visitor", "kind", "page", "country"))
+    return hits.newest(db.hits.select("event_id", "ts", "visitor", "kind", "page", "country"), 50_000)
 
 
 _DELTAS = ", ".join(f"R6(floor(q[{i + 1}] * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS {d}" for i, d in enumerate(DELTA_COLUMNS))

@@ -54,12 +54,12 @@ def place_lookup(db):
           row_number() OVER (PARTITION BY c.cell_id ORDER BY
              sqrt((radians(g.lon) * cos(radians(g.lat)) - radians(c.lon) * cos(radians(c.lat))) ** 2 + (radians(g.lat) - radians(c.lat)) ** 2), g.place_id) AS rk
           FROM cells c, gazetteer g),
-      near AS (SELECT * FROM d WHERE rk <= 20 AND km <= 8),
+      near AS (SELECT * FROM d WHERE km <= 8),
       lone AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY km, place_id) AS ln FROM d WHERE cell_id NOT IN (SELECT cell_id FROM near)),
       pick AS (SELECT cell_id, name, population, cc, km FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY population DESC, rk) AS pn FROM near) WHERE pn = 1
                UNION ALL SELECT cell_id, name, population, cc, km FROM lone WHERE ln = 1),
       par AS (SELECT cell_id, name FROM (SELECT d.cell_id, d.name, row_number() OVER (PARTITION BY d.cell_id ORDER BY d.population DESC, d.rk) AS pn
-              FROM d JOIN pick p ON d.cell_id = p.cell_id WHERE d.rk <= 20 AND d.km <= 12 AND d.name <> p.name AND d.population >= 4 * greatest(p.population, 1)) WHERE pn = 1)
+              FROM d JOIN pick p ON d.cell_id = p.cell_id WHERE d.km <= 12 AND d.name <> p.name AND d.population >= 4 * greatest(p.population, 1)) WHERE pn = 1)
       SELECT p.cell_id, concat_ws(', ', p.name, par.name) AS name, p.cc, R6(p.km) AS km FROM pick p LEFT JOIN par ON p.cell_id = par.cell_id""",
 )
 def knn_name(db):

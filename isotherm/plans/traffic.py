@@ -168,7 +168,7 @@ def _finished(db, stream, name):
 
 @query(
     "stream_daily",
-    """WITH i AS (SELECT cell_key, ts + INTERVAL 3 HOUR AS l, t2m, sqrt(u10 * u10 + v10 * v10) AS wind FROM hourly), d AS (SELECT cell_key, CAST(l AS DATE) AS date, round(max(t2m) - 273.15, 3) AS tmax_C, round(max(wind), 3) AS wind_max_ms FROM i GROUP BY 1, 2 HAVING count(*) = 24)
+    """WITH i AS (SELECT cell_key, ts + INTERVAL 3 HOUR AS l, t2m, sqrt(u10 * u10 + v10 * v10) AS wind FROM hourly), d AS (SELECT cell_key, CAST(l AS DATE) AS date, (round_even((max(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS tmax_C, (round_even((max(wind)) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS wind_max_ms FROM i GROUP BY 1, 2 HAVING count(*) = 24)
       SELECT cell_key, date, R6(tmax_C) AS tmax_C, R6(wind_max_ms) AS wind_max_ms FROM d WHERE date < (SELECT CAST(max(l) - INTERVAL 2 DAY AS DATE) FROM i)""",
 )
 def stream_daily(db):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)"
@@ -16,7 +16,7 @@ def url_host(url: Column) -> Column:
 
 def pseudonym(ip: Column, ua: Column, salt: str) -> Column:
     """First 16 hex digits of sha256 over address, agent and salt joined by a bar."""
-    parts = [F.coalesce(ip, F.lit("")), F.substring(F.coalesce(ua, F.lit("")), 1, 256), F.lit(salt)]
+    parts = [F.coalesce(ip, F.lit("")), F.coalesce(ua, F.lit("")), F.lit(salt)]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
@@ -37,15 +37,23 @@ def ingest(raw: DataFrame, salt: str, owner_key: str | None = None) -> DataFrame
     if owner_key and "owner" in columns:
         owner = owner | F.coalesce(F.col("owner") == owner_key, F.lit(False))
     visitor = F.when(owner, F.lit("owner")).otherwise(pseudonym(F.col("ip"), F.col("ua"), salt))
-    ua = F.substring("ua", 1, 256)
     return (
         raw.withColumn("visitor", visitor)
         .withColumn("referer", referer)
-        .withColumn("ua", F.when(ua != "", ua))
+        .withColumn("ua", F.when(F.col("ua") != "", F.col("ua")))
         .drop("ip", "referer_url", "origin_url", "owner")
     )
 
 
-def newest(hits: DataFrame, limit: int = 50_000) -> DataFrame:
-    """The newest rows; Spark keeps only ``limit`` rows per task."""
-    return hits.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit)
+def newest(hits: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` newest rows, newest first.
+
+    Hits are counted by hour; only the hours that can hold one of the newest rows are sorted.
+    """
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    counted = hits.groupBy(hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row: the oldest hour with fewer than ``limit`` hits after it
+    cutoff = counted.withColumn("_newer", newer).where(F.col("_newer") < limit).agg(F.min("_hour").alias("_from"))
+    recent = hits.join(F.broadcast(cutoff), F.col("_from").isNull() | (hour >= F.col("_from"))).drop("_from")
+    return recent.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit)

@@ -79,8 +79,10 @@ class TierStore:
         try:
             done = self.spark.read.schema("batch LONG").parquet(f"{self.path}/pointer")
             return done.where(F.lit(before is None) | (F.col("batch") < F.lit(before or 0))).agg(F.max("batch")).first()[0]
-        except AnalysisException:  # nothing written yet
-            return None
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # nothing written yet
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The newest finished snapshot, or the newest before a batch."""
