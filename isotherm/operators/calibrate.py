@@ -45,12 +45,12 @@ def head_shifts(df: DataFrame, heads: Sequence[str], truth: str, keys: Sequence[
     )
     long = df.select(*keys, residuals.alias("_e")).select(*keys, "_e.level", "_e.r")
 
-    def positions(n: Column) -> Column:
-        return F.array(*[conformal_position(n, p) for p in levels if p != 0.5])
+    def position(n: Column) -> Column:
+        ranks = [F.when(F.col("_k.level") == p, conformal_position(n, p)) for p in levels if p != 0.5]
+        return F.array(F.coalesce(*ranks))
 
-    wanted = F.element_at(F.array(*[F.lit(p) for p in levels if p != 0.5]), F.col("i") + 1)
-    found = order_statistics(long, [*keys, "level"], "r", positions)
-    return found.where(wanted == F.col("level")).select(*keys, "level", "n", F.col("v").alias("shift"))
+    found = order_statistics(long, [*keys, "level"], "r", position)
+    return found.select(*keys, "level", "n", F.col("v").alias("shift"))
 
 
 def as_row(shifts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

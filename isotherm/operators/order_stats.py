@@ -1,11 +1,11 @@
 """Exact order statistics and ranks over pools of any size.
 
-``percentile`` keeps a value -> count map per group, which is right for the pools the
-calendar bounds (one cell, one season). A pool over the whole table is not bounded, so
-here equal values are counted first (a value that holds a third of the rows becomes one row)
-and the counts are stored. If they are few, one ordered window finds the wanted ranks. If not,
-a histogram of at most ``slots`` rows per group says which slot holds a rank, and only that
-slot's distinct values are ordered.
+``percentile`` keeps a value -> count map per group, which is right for the pools the calendar bounds (one cell, one
+season). A pool over the whole table is not bounded, so here equal values are counted first (a value that holds a third
+of the rows becomes one row). A rank is then located in two histograms: slots that grow with the size of the value, so
+that no outlier can push all others into one, and equal parts between the smallest and largest value of the slot that
+holds the rank. Only the distinct values of that part are ordered. The path is the same for every size, and nothing
+runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -16,87 +16,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isotherm.session import materialize
-
-SLOTS = 4096
-# Up to this many distinct values (counted, not guessed) one ordered window is enough.
-SMALL = 1_000_000
+#: slots per e-fold of the value; together at most about 93,000 for all doubles, a few thousand for measured values
+FOLD_SLOTS = 64
+#: values below this size share the slots around zero
+FINEST = 2.0**-20
+#: equal parts of a slot
+PARTS = 4096
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their counts as a stored table, so the input is read once."""
-    pool = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
-    return materialize(pool.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "values")
-
-
-def _in_one_window(counted: DataFrame, keys: list[str], positions: Callable[[Column], Column]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = counted.withColumn("_skip", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("n", F.sum("_c").over(group))
-    wanted = F.posexplode(positions(F.col("n"))).alias("i", "_pos")
-    hit = (F.col("_pos") >= F.col("_skip")) & (F.col("_pos") < F.col("_skip") + F.col("_c"))
-    return ordered.select(*keys, "n", "_v", "_skip", "_c", wanted).where(hit).select(*keys, "n", "i", F.col("_v").alias("v"))
-
-
-def _in_slots(counted: DataFrame, keys: list[str], positions: Callable[[Column], Column], slots: int) -> DataFrame:
-    if not keys:
-        counted = counted.withColumn("_all", F.lit(1))
-    by = keys or ["_all"]
-    span = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("n"))
-    scaled = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots)
-    slot = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.lit(slots - 1), scaled))
-    slotted = counted.join(span, by).select(*by, "_v", "_c", slot.cast("int").alias("_slot"))
-    below = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        slotted.groupBy(*by, "_slot")
-        .agg(F.sum("_c").alias("_m"))
-        .withColumn("_start", F.coalesce(F.sum("_m").over(below), F.lit(0)))
-    )
-    wanted = span.select(*by, "n", F.posexplode(positions(F.col("n"))).alias("i", "_pos"))
-    located = wanted.join(histogram, by).where(
-        (F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_m"))
-    )
-    before = Window.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = slotted.join(located.select(*by, "_slot").distinct(), [*by, "_slot"], "left_semi").withColumn(
-        "_skip", F.coalesce(F.sum("_c").over(before), F.lit(0))
-    )
-    offset = F.col("_pos") - F.col("_start")
-    out = located.join(ordered, [*by, "_slot"]).where(
-        (offset >= F.col("_skip")) & (offset < F.col("_skip") + F.col("_c"))
-    )
-    return out.select(*keys, "n", "i", F.col("_v").alias("v"))
+    """``_k, _v, _c``: distinct values and their counts. The keys are one struct, in which nulls are equal."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("_all"))
+    pool = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key.alias("_k"), (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    return pool.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _slot(value: Column) -> Column:
+    """Rises with the value."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) / FINEST) * FOLD_SLOTS)
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Rises with the value between the ends of its slot."""
+    width = high - low
+    at = F.floor((value - low) / width * PARTS)
+    return F.when((width > 0) & (width < float("inf")), F.least(F.lit(PARTS - 1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+
 
+def _before(by: Sequence[str], order: str, count: str) -> Column:
+    """How many rows of the group come earlier."""
+    return F.coalesce(F.sum(count).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    positions: Callable[[Column], Column],
-    slots: int = SLOTS,
-    small: int = SMALL,
-) -> DataFrame:
+
+def _holds(start: str, count: str) -> Column:
+    return (F.col("_pos") >= F.col(start)) & (F.col("_pos") < F.col(start) + F.col(count))
+
+
+def _at_positions(counted: DataFrame, positions: Callable[[Column], Column]) -> DataFrame:
+    """``_k, n, i, v`` for each wanted position of each group of ``_value_counts``."""
+    slotted = counted.withColumn("_slot", _slot(F.col("_v")))
+    slots = slotted.groupBy("_k", "_slot").agg(F.sum("_c").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    placed = slots.withColumn("_start", _before(["_k"], "_slot", "_m")).withColumn("n", F.sum("_m").over(Window.partitionBy("_k")))
+    in_slot = placed.select("*", F.posexplode(positions(F.col("n"))).alias("i", "_pos")).where(_holds("_start", "_m"))
+
+    ends = in_slot.select("_k", "_slot", "_low", "_high").distinct()
+    cut = slotted.join(ends, ["_k", "_slot"]).select("_k", "_slot", _part(F.col("_v"), F.col("_low"), F.col("_high")).alias("_part"), "_v", "_c")
+    parts = cut.groupBy("_k", "_slot", "_part").agg(F.sum("_c").alias("_pm")).withColumn("_within", _before(["_k", "_slot"], "_part", "_pm"))
+    shifted = in_slot.select("_k", "_slot", "n", "i", (F.col("_pos") - F.col("_start")).alias("_pos"))
+    in_part = shifted.join(parts, ["_k", "_slot"]).where(_holds("_within", "_pm"))
+    rest = in_part.select("_k", "_slot", "_part", "n", "i", (F.col("_pos") - F.col("_within")).alias("_pos"))
+
+    wanted = rest.groupBy("_k", "_slot", "_part", "n").agg(F.collect_list(F.struct("i", "_pos")).alias("_wanted"))
+    ordered = cut.join(wanted, ["_k", "_slot", "_part"]).withColumn("_skip", _before(["_k", "_slot", "_part"], "_v", "_c"))
+    found = F.filter("_wanted", lambda w: (w["_pos"] >= F.col("_skip")) & (w["_pos"] < F.col("_skip") + F.col("_c")))
+    return ordered.select("_k", "n", F.explode(found).alias("_w"), F.col("_v").alias("v")).select("_k", "n", F.col("_w.i").alias("i"), "v")
+
+
+def _with_keys(found: DataFrame, keys: Sequence[str], *columns: str | Column) -> DataFrame:
+    return found.select(*[F.col("_k").getField(k).alias(k) for k in keys], *columns)
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions: Callable[[Column], Column]) -> DataFrame:
     """Values at given 0-based positions of each group's sorted values.
 
-    ``positions`` maps the group's count to an array of positions. The result has the
-    keys, ``n``, ``i`` (index into the array) and ``v``.
+    ``positions`` maps the group's count to an array of positions; there the group's keys are fields of ``_k``, for
+    positions that depend on them. The result has the
+    keys, ``n``, ``i`` (index into the array) and ``v``. Null and NaN values take no part; a null key is a group.
     """
-    keys = list(keys)
-    counted = _value_counts(df, keys, value)
-    if counted.count() <= small:
-        return _in_one_window(counted, keys, positions)
-    return _in_slots(counted, keys, positions, slots)
+    return _with_keys(_at_positions(_value_counts(df, keys, value), positions), keys, "n", "i", "v")
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q", small: int = SMALL
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "q") -> DataFrame:
     """Linear-interpolation quantiles, exact: keys, ``n`` and an array column ``name``."""
-    keys = list(keys)
-    counted = _value_counts(df, keys, value)
-    if counted.count() <= small:
-        levels = F.array(*[F.lit(float(p)) for p in probs])
-        found = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile("_v", levels, F.col("_c")).alias(name))
-        return found.where("n IS NOT NULL")
 
     def neighbours(n: Column) -> Column:
         wanted = []
@@ -105,16 +96,14 @@ def quantiles(
             wanted += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
         return F.array(*wanted)
 
-    found = _in_slots(counted, keys, neighbours, SLOTS)
-    pairs = found.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m")
-    )
+    found = _at_positions(_value_counts(df, keys, value), neighbours)
+    pairs = found.groupBy("_k", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m"))
     values = []
     for j, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.element_at("_m", F.lit(2 * j)), F.element_at("_m", F.lit(2 * j + 1))
-        values.append(lo + (hi - lo) * (at - F.floor(at)))
-    return pairs.select(*keys, "n", F.array(*values).alias(name))
+        values.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))))
+    return _with_keys(pairs, keys, "n", F.array(*values).alias(name))
 
 
 def conformal_position(n: Column, level: float) -> Column:

@@ -12,16 +12,43 @@ from pyspark.sql import functions as F
 from isotherm.operators import calibrate, cells, climatology, daily, nearest, order_stats, pools, shuffles, spatial, tiers, traffic
 
 
-def test_order_statistics_match_numpy_on_both_paths(spark):
+@pytest.mark.parametrize("shape", ["spread", "outlier", "repeated", "narrow"])
+def test_order_statistics_match_numpy(spark, shape):
     rng = np.random.default_rng(3)
-    frame = pd.DataFrame({"k": rng.integers(0, 3, 3000), "v": np.where(rng.random(3000) < 0.35, 0.0, np.exp(rng.normal(size=3000) * 3))})
+    values = {
+        "spread": np.where(rng.random(3000) < 0.35, 0.0, np.exp(rng.normal(size=3000) * 3) * rng.choice([-1.0, 1.0], 3000)),
+        "outlier": np.append(rng.random(2999), 1e12),
+        "repeated": np.where(rng.random(3000) < 0.9, 7.25, rng.normal(size=3000)),
+        "narrow": 20 + rng.random(3000) * 1e-9,
+    }[shape]
+    frame = pd.DataFrame({"k": rng.integers(0, 3, 3000), "v": values})
     df = spark.createDataFrame(frame)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
-    for small in (0, 10_000):
-        for row in order_stats.quantiles(df, ["k"], "v", probs, small=small).collect():
-            assert np.allclose(row["q"], frame.v[frame.k == row["k"]].quantile(probs))
-        overall = order_stats.order_statistics(df, [], "v", lambda n: F.array(F.lit(0), n - 1), small=small)
-        assert sorted(r["v"] for r in overall.collect()) == [frame.v.min(), frame.v.max()]
+    for row in order_stats.quantiles(df, ["k"], "v", probs).collect():
+        assert np.allclose(row["q"], frame.v[frame.k == row["k"]].quantile(probs), rtol=1e-12)
+    every = order_stats.order_statistics(df, [], "v", lambda n: F.sequence(F.lit(0).cast("long"), n - 1))
+    assert [r["v"] for r in every.orderBy("i").collect()] == sorted(frame.v)
+    one, many = (order_stats.quantiles(df.repartition(n), [], "v", probs).first()["q"] for n in (1, 13))
+    assert one == many
+
+
+def test_order_statistics_of_empty_null_and_infinite_values(spark):
+    inf = float("inf")
+    rows = [(None, 1.0), (None, 3.0), (1, None), (1, float("nan")), (1, inf), (1, -inf), (1, 0.0), (1, -0.0), (1, 1e305)]
+    df = spark.createDataFrame(rows, "k INT, v DOUBLE")
+    every = order_stats.order_statistics(df, ["k"], "v", lambda n: F.sequence(F.lit(0).cast("long"), n - 1))
+    got = {(r["k"], r["i"]): r["v"] for r in every.collect()}
+    assert got == {(None, 0): 1.0, (None, 1): 3.0, (1, 0): -inf, (1, 1): 0.0, (1, 2): 0.0, (1, 3): 1e305, (1, 4): inf}
+    assert order_stats.quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_an_outlier_leaves_the_parts_small(spark):
+    """No part that is ordered holds more than a few of many distinct values."""
+    df = spark.range(200_000).select((F.rand(5) * 30).alias("v")).unionByName(spark.createDataFrame([(1e12,)], "v DOUBLE"))
+    slotted = df.withColumn("slot", order_stats._slot(F.col("v")))
+    ends = slotted.groupBy("slot").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    parts = slotted.join(ends, "slot").groupBy("slot", order_stats._part(F.col("v"), F.col("low"), F.col("high"))).count()
+    assert parts.agg(F.max("count")).first()[0] < 50
 
 
 def test_global_row_number_equals_one_sort(spark):
