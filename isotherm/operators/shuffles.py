@@ -9,7 +9,7 @@ are a matrix and the order statistics of all of them come from one sorted pass.
 from __future__ import annotations
 
 import hashlib
-
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,15 @@ def deal_years(years: list[int], early_size: int, deals: int, seed: int) -> np.n
     return out
 
 
+@lru_cache(maxsize=64)
+def distinct_deals(years: tuple[int, ...], early_size: int, deals: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different piles among the deals and how often each was dealt.
+
+    They depend on the years alone, so a worker makes them once for all cells with the same years.
+    """
+    return np.unique(deal_years(list(years), early_size, deals, seed), axis=0, return_counts=True)
+
+
 def _quantile_of_members(values: np.ndarray, member: np.ndarray, q: float) -> np.ndarray:
     """Per row of ``member``, the interpolated quantile of the sorted values it selects."""
     seen = np.cumsum(member, axis=1, dtype=np.int32)
@@ -82,15 +91,16 @@ def _shuffle(frame: pd.DataFrame, by: str | None, q: float, deals: int, seed: in
     if not usable:
         return None
     signed, absolute = (float(x[0]) for x in _gaps(usable, observed, q))
-    dealt = deal_years(years, len(early_years), deals, seed)
+    dealt, times = distinct_deals(tuple(years), len(early_years), deals, seed)
     count_signed = count_abs = 0
     null_abs = 0.0
-    for start in range(0, deals, DEAL_BLOCK):
+    for start in range(0, len(dealt), DEAL_BLOCK):
         s, a = _gaps(usable, dealt[start : start + DEAL_BLOCK], q)
         known = ~np.isnan(s)
-        count_signed += int((np.abs(s[known]) >= abs(signed) - TOLERANCE).sum())
-        count_abs += int((a[known] >= absolute - TOLERANCE).sum())
-        null_abs += float(a[known].sum())
+        often = times[start : start + DEAL_BLOCK][known]
+        count_signed += int(often[np.abs(s[known]) >= abs(signed) - TOLERANCE].sum())
+        count_abs += int(often[a[known] >= absolute - TOLERANCE].sum())
+        null_abs += float((a[known] * often).sum())
     return {
         "groups": len(usable),
         "early_years": len(early_years),

@@ -300,38 +300,45 @@ def weekly_gap(db):
     return rows.select("cell_key", "weeks", *[r6(F.col(c)).alias(c) for c in ("signed_gap", "abs_gap", "percentile")])
 
 
-DEALS = 200
-DEALT_SQL = f"""d AS (SELECT p, y, row_number() OVER (PARTITION BY p ORDER BY md5(concat('42:', p, ':', y))) <= 3 AS early FROM (SELECT range AS p FROM range(0, {DEALS})), (SELECT CAST(range AS INT) AS y FROM range(1995, 2001)))"""
+WEEK_DEALS, BLOCK_DEALS = 2_000, 10_000
+
+
+def dealt_sql(deals: int) -> str:
+    """``d``: each different pile once, with the number of deals that gave it."""
+    return f"""e AS (SELECT p, y, row_number() OVER (PARTITION BY p ORDER BY md5(concat('42:', p, ':', y))) <= 3 AS early FROM (SELECT range AS p FROM range(0, {deals})), (SELECT CAST(range AS INT) AS y FROM range(1995, 2001))),
+      f AS (SELECT min(p) AS p, count(*) AS times FROM (SELECT p, string_agg(y, ',' ORDER BY y) AS pile FROM e WHERE early GROUP BY p) GROUP BY pile),
+      d AS (SELECT e.p, y, early, times FROM e JOIN f ON f.p = e.p),
+      a AS MATERIALIZED (SELECT * FROM d UNION ALL SELECT -1, CAST(range AS INT), range <= 1997, 1 FROM range(1995, 2001))"""
 
 
 @query(
     "year_shuffle_test",
-    f"""WITH s AS MATERIALIZED (SELECT * FROM {WEEK_ROWS}), {DEALT_SQL}, a AS (SELECT * FROM d UNION ALL SELECT -1, CAST(range AS INT), range <= 1997 FROM range(1995, 2001)),
-      k AS (SELECT p, cell_key, w, quantile_cont(CASE WHEN early THEN v END, 0.5) AS e, quantile_cont(CASE WHEN NOT early THEN v END, 0.5) AS l FROM s JOIN a ON s.y = a.y GROUP BY 1, 2, 3),
-      g AS (SELECT p, cell_key, avg(l - e) AS sg, avg(abs(l - e)) AS ag, count(*) AS n FROM k WHERE e IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2),
+    f"""WITH s AS MATERIALIZED (SELECT * FROM {WEEK_ROWS}), {dealt_sql(WEEK_DEALS)},
+      k AS (SELECT p, cell_key, w, any_value(times) AS times, quantile_cont(CASE WHEN early THEN v END, 0.5) AS e, quantile_cont(CASE WHEN NOT early THEN v END, 0.5) AS l FROM s JOIN a ON s.y = a.y GROUP BY 1, 2, 3),
+      g AS (SELECT p, cell_key, any_value(times) AS times, avg(l - e) AS sg, avg(abs(l - e)) AS ag, count(*) AS n FROM k WHERE e IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2),
       o AS (SELECT * FROM g WHERE p = -1)
-      SELECT o.cell_key, any_value(o.n) AS weeks, R6(any_value(o.sg)) AS signed_gap, R6(any_value(o.ag)) AS abs_gap, count_if(abs(g.sg) >= abs(o.sg) - 1e-12) AS count_signed, count_if(g.ag >= o.ag - 1e-12) AS count_abs,
-             R6((count_if(abs(g.sg) >= abs(o.sg) - 1e-12) + 1) / ({DEALS} + 1)::DOUBLE) AS p_signed, R6((count_if(g.ag >= o.ag - 1e-12) + 1) / ({DEALS} + 1)::DOUBLE) AS p_abs, R6(sum(g.ag) / {DEALS}) AS null_abs_gap
+      SELECT o.cell_key, any_value(o.n) AS weeks, R6(any_value(o.sg)) AS signed_gap, R6(any_value(o.ag)) AS abs_gap,
+             CAST(coalesce(sum(g.times) FILTER (abs(g.sg) >= abs(o.sg) - 1e-12), 0) AS BIGINT) AS count_signed, CAST(coalesce(sum(g.times) FILTER (g.ag >= o.ag - 1e-12), 0) AS BIGINT) AS count_abs,
+             R6((count_signed + 1) / ({WEEK_DEALS} + 1)::DOUBLE) AS p_signed, R6((count_abs + 1) / ({WEEK_DEALS} + 1)::DOUBLE) AS p_abs, R6(sum(g.ag * g.times) / {WEEK_DEALS}) AS null_abs_gap
       FROM o JOIN g ON g.cell_key = o.cell_key AND g.p >= 0 GROUP BY 1""",
 )
 def year_shuffle_test(db):
-    rows = shuffles.week_shuffle_test(db.cell_day.where("tier = 'archive'"), "tmax_C", EARLY, LATE, deals=DEALS)
+    rows = shuffles.week_shuffle_test(db.cell_day.where("tier = 'archive'"), "tmax_C", EARLY, LATE, deals=WEEK_DEALS)
     return rows.select(
         "cell_key", F.col("groups").alias("weeks"), r6(F.col("signed_gap")).alias("signed_gap"), r6(F.col("abs_gap")).alias("abs_gap"), "count_signed", "count_abs",
         r6(F.col("p_signed")).alias("p_signed"), r6(F.col("p_abs")).alias("p_abs"), r6(F.col("null_abs_gap")).alias("null_abs_gap"),
     )
 
 
-BLOCK_SQL = f"""WITH s AS MATERIALIZED (SELECT cell_key, CAST(year(date) AS INT) AS y, tmax_C AS v FROM cell_day WHERE tier <> 'forecast' AND {SEASON_SQL} AND year(date) BETWEEN 1995 AND 2000), {DEALT_SQL},
-      a AS (SELECT * FROM d UNION ALL SELECT -1, CAST(range AS INT), range <= 1997 FROM range(1995, 2001)),
-      g AS (SELECT p, cell_key, quantile_cont(CASE WHEN NOT early THEN v END, 0.5) - quantile_cont(CASE WHEN early THEN v END, 0.5) AS diff FROM s JOIN a ON s.y = a.y GROUP BY 1, 2),
+BLOCK_SQL = f"""WITH s AS MATERIALIZED (SELECT cell_key, CAST(year(date) AS INT) AS y, tmax_C AS v FROM cell_day WHERE tier <> 'forecast' AND {SEASON_SQL} AND year(date) BETWEEN 1995 AND 2000), {dealt_sql(BLOCK_DEALS)},
+      g AS (SELECT p, cell_key, any_value(times) AS times, quantile_cont(CASE WHEN NOT early THEN v END, 0.5) - quantile_cont(CASE WHEN early THEN v END, 0.5) AS diff FROM s JOIN a ON s.y = a.y GROUP BY 1, 2),
       o AS (SELECT * FROM g WHERE p = -1),
-      r AS (SELECT o.cell_key, any_value(o.diff) AS diff, (count_if(abs(g.diff) >= abs(o.diff) - 1e-12) + 1) / ({DEALS} + 1)::DOUBLE AS p FROM o JOIN g ON g.cell_key = o.cell_key AND g.p >= 0 GROUP BY 1)"""
+      r AS (SELECT o.cell_key, any_value(o.diff) AS diff, (coalesce(sum(g.times) FILTER (abs(g.diff) >= abs(o.diff) - 1e-12), 0) + 1) / ({BLOCK_DEALS} + 1)::DOUBLE AS p FROM o JOIN g ON g.cell_key = o.cell_key AND g.p >= 0 GROUP BY 1)"""
 
 
 def block_test(db):
     pool = in_window(db).where("tier <> 'forecast'")
-    return shuffles.year_block_test(pool, "tmax_C", EARLY, LATE, deals=DEALS)
+    return shuffles.year_block_test(pool, "tmax_C", EARLY, LATE, deals=BLOCK_DEALS)
 
 
 @query("year_block_test", f"{BLOCK_SQL} SELECT cell_key, R6(diff) AS observed_diff, R6(p) AS p FROM r")
