@@ -25,12 +25,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: contexts beyond the base ones in which a value is judged by its guess cost
+#: contexts in which a value is judged by its guess cost: the base names and further ones. The value is whole: a quoted
+#: string (a quote inside a word does not end it), or a run of anything but white space
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass_?phrase|pwd|passcode|credentials?|access_?key|private_?key|client_?key|auth(?:orization)?|bearer|signature|signing_?key|session_?id|pin_?code)["']?\x20*(?:[:=]\x20*|\x20(?=\S{16}))["']?([!-~]{8,})""",
+    r"""(?:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*"""
+    r"""|(?<![A-Za-z])(?:pass_?phrase|pwd|passcode|credentials?|access_?key|private_?key|client_?key|auth(?:orization)?|bearer|signature|signing_?key|session_?id|pin_?code)["']?\x20*(?:[:=]\x20*|\x20(?=\S{16})))"""
+    r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.|'(?=\w))*)'(?!\w)|["']?(\S+))""",
     re.I | re.A,
 )
-CONTEXT_HINTS = ("pass", "pwd", "credential", "key", "auth", "bearer", "signature", "session", "pin")
+CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "signature", "session", "pin")
 #: a value is reported if guessing it takes at least ten to this power tries
 COSTLY = 10.0
 
@@ -76,6 +79,7 @@ def guess_cost(value: str) -> float:
         if low[start].isdigit() and (m := DATE.match(low, start)):
             dates.setdefault(start, []).append((m.end(), YEAR_COST if m.end() - start == 4 else DATE_COST))
     repeat = walk = 0
+    reach = dict.fromkeys((2, 3, 4), 0)  # where a character first differs from the one a width behind it
     for start in range(size):
         here = best[start]
         more = step if start else 0.0
@@ -104,9 +108,10 @@ def guess_cost(value: str) -> float:
             best[walk] = min(best[walk], here + more + math.log10(47 * 4 * (walk - start)))
         # a block that comes again at once: as dear as the block, times the number of times
         for width in (2, 3, 4):
-            end = start + width
-            while end + width <= size and low[end : end + width] == low[start : start + width]:
-                end += width
+            reach[width] = max(reach[width], start)
+            while reach[width] + width < size and low[reach[width]] == low[reach[width] + width]:
+                reach[width] += 1
+            end = start + width + (reach[width] - start) // width * width
             if end > start + width:
                 block = sum(math.log10(_alphabet(c)) for c in value[start : start + width])
                 best[end] = min(best[end], here + more + block + math.log10((end - start) / width))
@@ -119,6 +124,18 @@ def _costly(value: str) -> bool:
     return guess_cost(value) >= COSTLY
 
 
+def values_of(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of the whole values of eight or more characters in credential contexts."""
+    found = []
+    for m in CONTEXT.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:  # not quoted: what closes a sentence or bracket is no part of it
+            end = start + len(m[3].rstrip("\"'.,;:)]}>"))
+        if end - start >= 8:
+            found.append((start, end))
+    return found
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, ordered by start, then kind as in ``KINDS``."""
     found: list[tuple[str, int, int]] = []
@@ -129,11 +146,9 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        taken = sorted((s, e) for _, s, e in found)
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'.,;:)]}>")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < end and start < e for s, e in taken) and _costly(value):
+        taken = {(s, e) for _, s, e in found}
+        for start, end in values_of(text):
+            if (start, end) not in taken and _costly(text[start:end]):
                 found.append(("costly", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -89,6 +89,30 @@ def test_costly_values_and_masks(spark):
     assert [r["text"] for r in out[1:]] == [None, "", "clean"]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('password = "p@ss!W0rd9xQz"', "p@ss!W0rd9xQz"),
+        ("secret=Summer!Xk29$q next", "Summer!Xk29$q"),
+        ("bearer abc.0123456789abcdef01234567.xyz,", "abc.0123456789abcdef01234567.xyz"),
+        ("api_key: 'kT9v Qz2m\\'Xw81'; x", "kT9v Qz2m\\'Xw81"),
+        ("{mytoken: 'kT9vQz2mXw81LpR}", "kT9vQz2mXw81LpR"),
+        ("passwd=schlüßel%kQ9xé$7 x", "schlüßel%kQ9xé$7"),
+    ],
+)
+def test_whole_values_in_base_contexts(text, value):
+    start = text.index(value)
+    spans = secret_scan.spans_of(text)
+    assert ("costly", start, start + len(value)) in spans
+    assert [s for s in spans if s[0] != "costly"] == plain_secrets(text)
+    assert value not in secret_scan.redact(text, spans) and value[-3:] not in secret_scan.redact(text, spans)
+
+
+def test_values_that_are_base_spans_or_cheap_are_not_costly():
+    for text in ('token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" of', "password: changeme1", "token=aaaaaaaaaaaaaaaaaaaaa", 'secret: "abc", "x": "kT9vQz2mXw81LpR"'):
+        assert [s for s in secret_scan.spans_of(text) if s[0] == "costly"] == []
+
+
 def test_media_round_trip(spark, tmp_path):
     texts = ["", None, "a", "a ", "x" * 192, "é" * 1000, "x" * 192, "long " * 50_000]
     rows = {r["doc_id"]: r for r in media.describe(frame(spark, texts)).collect()}
