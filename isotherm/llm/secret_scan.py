@@ -4,6 +4,9 @@ A value that stands where a credential stands is judged by the cheapest way to g
 characters picks the segmentation into dictionary words, dates, repeats, keyboard walks and brute-force spans whose
 product of guesses is least. Values that stay costly are reported, whatever their spelling; ``password: changeme1`` is
 cheap and is reported by the fixed patterns only.
+
+The dictionary is ranked: a fixed list of frequent parts of passwords, then the words of the corpus by the number of texts
+they stand in, counted by Spark without the values of credential contexts, so that a secret cannot vouch for itself.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +39,8 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "signature", "session", "pin")
-#: a value is reported if guessing it takes at least ten to this power tries
+#: a value is reported if guessing it takes at least ten to this power tries: of words of eight or more letters in sf0.1,
+#: weighted by occurrence, 0.9 % reach it under the dictionary, and of random values of ten letters and digits all do
 COSTLY = 10.0
 
 # fixed values: frequent parts of passwords, most frequent first; the rank is the number of guesses
@@ -52,7 +58,10 @@ DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d
 DATE_COST = math.log10(365 * 120)
 YEAR_COST = math.log10(120)
 RANKS = {w: r for r, w in enumerate(WORDS, 1)}
-LONGEST = max(map(len, WORDS))
+LETTERS = re.compile(r"[^\W\d_]+")
+#: the dictionary holds at most so many words of the corpus, the most frequent ones; each has at most LONGEST letters and
+#: stands in at least LEAST_TEXTS texts
+MAX_WORDS, LONGEST, LEAST_TEXTS = 50_000, 32, 2
 _BESIDE = {(a, b) for row in ROWS for a, b in zip(row, row[1:])}
 BESIDE = _BESIDE | {(b, a) for a, b in _BESIDE}
 
@@ -61,7 +70,7 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: Mapping[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for the empty string.
 
     ``best[e]`` is the least cost of the first ``e`` characters; each further segment also costs a factor of two for
@@ -90,7 +99,7 @@ def guess_cost(value: str) -> float:
         for length in range(3, min(LONGEST, size - start) + 1):
             end = start + length
             for text, leet in ((low, 0.0), (plain, 0.5)):
-                rank = RANKS.get(text[start:end])
+                rank = ranks.get(text[start:end])
                 if rank:
                     case = 0.0 if value[start:end].islower() else 0.4
                     best[end] = min(best[end], here + more + math.log10(rank + 1) + case + leet)
@@ -119,9 +128,51 @@ def guess_cost(value: str) -> float:
     return best[size]
 
 
-@lru_cache(maxsize=65_536)
-def _costly(value: str) -> bool:
-    return guess_cost(value) >= COSTLY
+class Judge(dict):
+    """Whether a value is costly under a dictionary, remembered: ``value -> bool``."""
+
+    def __init__(self, ranks: Mapping[str, int] = RANKS):
+        self.ranks = ranks
+
+    def __missing__(self, value: str) -> bool:
+        if len(self) >= 65_536:
+            self.clear()
+        found = guess_cost(value, self.ranks) >= COSTLY
+        if len(value) <= 256:
+            self[value] = found
+        return found
+
+
+FIXED = Judge()
+
+
+def dictionary(docs: DataFrame) -> dict[str, int]:
+    """``word -> rank``: the fixed words, then those of ``docs`` by the number of texts they stand in.
+
+    Words are runs of letters. Values in credential contexts are not counted.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update({w for w in LETTERS.findall(without_values(text).lower()) if 3 <= len(w) <= LONGEST})
+            if len(seen) >= 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    counted = texts(docs).select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    known = counted.where((F.col("n") >= LEAST_TEXTS) & ~F.col("word").isin(*WORDS)).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
+    return RANKS | {r["word"]: k for k, r in enumerate(known.collect(), len(WORDS) + 1)}
+
+
+def without_values(text: str) -> str:
+    """The text with the values of credential contexts left out."""
+    low = text.lower()
+    if not any(h in low for h in CONTEXT_HINTS):
+        return text
+    return CONTEXT.sub(lambda m: m[0][: m.start(m.lastindex) - m.start()] + " ", text)
 
 
 def values_of(text: str) -> list[tuple[int, int]]:
@@ -136,8 +187,8 @@ def values_of(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def spans_of(text: str) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` in code points, ordered by start, then kind as in ``KINDS``."""
+def spans_of(text: str, costly: Mapping[str, bool] = FIXED) -> list[tuple[str, int, int]]:
+    """``(kind, start, end)`` in code points, ordered by start, then kind as in ``KINDS``; ``costly`` judges values."""
     found: list[tuple[str, int, int]] = []
     low = text.lower()
     if any(h in low for h in HINTS):
@@ -148,7 +199,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     if any(h in low for h in CONTEXT_HINTS):
         taken = {(s, e) for _, s, e in found}
         for start, end in values_of(text):
-            if (start, end) not in taken and _costly(text[start:end]):
+            if (start, end) not in taken and costly[text[start:end]]:
                 found.append(("costly", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -172,11 +223,15 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row; no spans for null or empty texts."""
 
+    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
+
     def make():
+        costly = Judge(ranks.value)
+
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist()} | {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
             for text in batch.column("text").to_pylist():
-                spans = spans_of(text)
+                spans = spans_of(text, costly)
                 base = [s for s in spans if s[0] != "costly"]
                 for kind in KINDS[:3]:
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
@@ -196,9 +251,13 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql.functions import pandas_udf
 
+    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
+
     @pandas_udf("string")
-    def masked(text):
-        return text.map(lambda t: t if t is None else redact(t, spans_of(t)))
+    def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        costly = Judge(ranks.value)
+        for text in parts:
+            yield text.map(lambda t: t if t is None else redact(t, spans_of(t, costly)))
 
     out = docs.withColumn("text", masked(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

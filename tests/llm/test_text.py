@@ -113,6 +113,20 @@ def test_values_that_are_base_spans_or_cheap_are_not_costly():
         assert [s for s in secret_scan.spans_of(text) if s[0] == "costly"] == []
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = "the documentation of Washington names an elephant"
+    clean = ["credentials: documentation", "Signature: Washington", "passcode = elephant"]
+    secret = "passcode = zqvkxjwyhbnm"
+    docs = frame(spark, [prose, prose + " again", *clean, secret, secret + " twice"])
+    ranks = secret_scan.dictionary(docs)
+    assert {"documentation", "washington", "elephant"} < set(ranks) and "zqvkxjwyhbnm" not in ranks
+    assert list(ranks)[: len(secret_scan.WORDS)] == list(secret_scan.WORDS) and sorted(ranks.values()) == list(range(1, len(ranks) + 1))
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    assert [masked[k] for k in range(2, 7)] == [*clean, "passcode = [secret]", "passcode = [secret] twice"]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    assert [spans[k] for k in range(2, 7)] == ["", "", "", "costly:11:23", "costly:11:23"]
+
+
 def test_media_round_trip(spark, tmp_path):
     texts = ["", None, "a", "a ", "x" * 192, "é" * 1000, "x" * 192, "long " * 50_000]
     rows = {r["doc_id"]: r for r in media.describe(frame(spark, texts)).collect()}
