@@ -5,7 +5,8 @@ is toxic unless every sentence is harmless (noisy-or), and the weights are learn
 The sentences that carry a document's score are then its offending ones.
 
 Words and word beginnings of four to eight letters are features if they lean to toxic training documents (counted over
-all of them), a bounded list. Every step of the gradient is a sum over tasks; the driver sees one number for each feature.
+all of them). Every feature that leans has a weight: up to 262,144 features one of its own, beyond that several share one
+by their hash. Every step of the gradient is a sum over tasks; the driver sees one number for each weight.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ from isotherm.session import materialize
 
 #: about so many labelled rows are learnt from at most, chosen by a hash of the id
 MAX_LABELLED = 200_000
-MAX_FEATURES, STEPS, RATE, SHRINK = 3_000, 60, 0.5, 1e-4
+STEPS, RATE, SHRINK = 60, 0.5, 1e-4
+#: most weights; no feature is dropped beyond them
+MAX_WEIGHTS = 1 << 18
 #: a sentence offends if its own score reaches this
 OFFENDS = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -50,8 +54,15 @@ def parts(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
-def leaning_words(known: DataFrame) -> list[str]:
-    """The words and beginnings of ``text, y`` rows that lean most to toxic documents: by the z-score of the log odds, at most ``MAX_FEATURES``."""
+def hashed(part: str) -> int:
+    """64-bit hash of a feature, signed."""
+    found = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"))
+    return found - (1 << 64) if found >> 63 else found
+
+
+def leaning_features(known: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of all words and beginnings of ``text, y`` rows that lean to toxic documents: in three or more
+    of them, with a z-score of the log odds over 1.5."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,25 +78,26 @@ def leaning_words(known: DataFrame) -> list[str]:
     totals = known.agg(F.sum("y").alias("hits"), F.count("y").alias("n")).first()
     bad, all_rows = totals["hits"] or 0, totals["n"] or 0
     if not bad or bad == all_rows:
-        return []
+        return np.array([], np.int64)
     odds = F.log((F.col("hits") + 0.5) / (bad - F.col("hits") + 0.5)) - F.log((F.col("n") - F.col("hits") + 0.5) / (all_rows - bad - F.col("n") + F.col("hits") + 0.5))
     spread = F.sqrt(1 / (F.col("hits") + 0.5) + 1 / (F.col("n") - F.col("hits") + 0.5))
     counted = known.select("text", "y").mapInArrow(count, "word string, hits long, n long").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-    # a feature is a word of at most 64 characters, so the list is at most 3,000 short strings
-    leaning = counted.where((F.col("hits") >= 3) & (F.length("word") <= 64)).withColumn("lean", odds / spread).where(F.col("lean") > 1.5)
-    return [r["word"] for r in leaning.orderBy(F.desc("lean"), "word").limit(MAX_FEATURES).collect()]
+    # 8 bytes a feature, from at most MAX_LABELLED rows
+    leaning = counted.where((F.col("hits") >= 3) & (F.length("word") <= 64)).where(odds / spread > 1.5)
+    hashes = leaning.select("word").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([hashed(w) for w in b.column(0).to_pylist()], pa.int64())], ["h"]) for b in batches), "h long")
+    return np.unique(hashes.toArrow().column(0).to_numpy())
 
 
 class Features(dict):
     """Features of a word, remembered: ``word -> ids``."""
 
-    def __init__(self, words: list[str]):
-        self.index = {w: k for k, w in enumerate(words)}
+    def __init__(self, hashes: np.ndarray, weights: int):
+        self.slots = {h: k % weights for k, h in enumerate(hashes.tolist())}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMORY:
             self.clear()
-        found = tuple(self.index[p] for p in parts(word) if p in self.index)
+        found = tuple(self.slots[h] for h in map(hashed, parts(word)) if h in self.slots)
         if len(word) <= 64:
             self[word] = found
         return found
@@ -110,14 +122,16 @@ def softplus(z):
     return np.logaddexp(0, z)
 
 
-def fit(known: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Feature words and weights (the last one is the bias) from ``text, y`` rows. Without toxic rows all scores are 0."""
-    words = leaning_words(known)
-    if not words:
-        return [], np.array([-np.inf])
+def fit(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes and weights (the last one is the bias) from ``text, y`` rows. Without toxic rows all scores are 0."""
+    hashes = leaning_features(known)
+    if not len(hashes):
+        return hashes, np.array([-np.inf])
+    size = min(len(hashes), MAX_WEIGHTS)
+    shared = known.sparkSession.sparkContext.broadcast(hashes)
 
     def compact():
-        features = Features(words)
+        features = Features(shared.value, size)
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
             rows = [features_of(t, features) for t in batch.column("text").to_pylist()]
@@ -128,14 +142,14 @@ def fit(known: DataFrame) -> tuple[list[str], np.ndarray]:
     # equal rows weigh as often as they come, so they are stored once with their number
     shape = map_batches(known.select("text", "y"), "y int, plain int, sentences array<array<int>>", compact)
     rows = materialize(shape.groupBy("y", "plain", "sentences").agg(F.count(F.lit(1)).alias("n")).coalesce(TASKS), "toxicity-known")
-    weights = np.zeros(len(words) + 1)
+    weights = np.zeros(size + 1)
     weights[-1] = -5.0
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for turn in range(1, STEPS + 1):
         gradient = _gradient(rows, weights) + SHRINK * np.append(weights[:-1], 0)
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         weights = weights - RATE * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
-    return words, weights
+    return hashes, weights
 
 
 def _gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
@@ -164,17 +178,16 @@ def _gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         at = np.append(np.flatnonzero(total), len(total))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(total, seen)[at])], ["k", "v"])
 
-    sums = rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(len(weights) + 1)
-    for r in sums:
-        out[r["k"]] = r["v"]
+    out[sums.column("k").to_numpy()] = sums.column("v").to_numpy()
     return out[:-1] / max(1.0, out[-1])
 
 
-def score_text(text: str, features: Features, weights: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+def score_text(text: str, features: Features, weights: Sequence[float]) -> tuple[float, list[tuple[int, int, float]]]:
     """The document's score and ``(start, end, score)`` of its offending sentences."""
     found, plain = features_of(text, features)
-    bias = float(weights[-1])
+    bias = weights[-1]
     z = [bias + sum(weights[k] for k in own) for _, _, own in found]
     harm = float(sum(softplus(v) for v in z) + plain * softplus(bias))
     own = [(s, e, 1 / (1 + math.exp(-min(max(v, -700), 700)))) for (s, e, _), v in zip(found, z)]
@@ -189,13 +202,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
     """
     plain = texts(docs)
     known = materialize(plain.join(F.broadcast(labelled(labels)), "doc_id").dropDuplicates(["doc_id"]), "toxicity-labelled")
-    words, weights = fit(known)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(known))
 
     def make():
-        features = Features(words)
+        hashes, weights = shared.value
+        features, plain_weights = Features(hashes, len(weights) - 1), weights.tolist()
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            rows = [score_text(t, features, weights) if words else (0.0, []) for t in batch.column("text").to_pylist()]
+            rows = [score_text(t, features, plain_weights) if len(hashes) else (0.0, []) for t in batch.column("text").to_pylist()]
             return {
                 "doc_id": batch.column("doc_id").to_pylist(), "score": [s for s, _ in rows],
                 "sentences": [[{"start": a, "end": b, "score": p} for a, b, p in found] for _, found in rows],

@@ -162,6 +162,20 @@ def test_classifiers_on_held_out_rows(spark, module, column, modulus, held):
     assert min(right(0), right(1)) > (0.9 if module is quality else 0.6)
 
 
+def test_every_leaning_feature_has_a_weight(spark, monkeypatch):
+    # 4,000 toxic words, each in three toxic documents; a cut at 3,000 features would leave some without weight
+    toxic = [f"{k:04d}" for k in range(4000)]
+    rows = [(" ".join(toxic[k % 40 :: 40]) + ".", 1) for k in range(120)] + [(f"calm words {k}x here.", 0) for k in range(600)]
+    known = spark.createDataFrame(rows, "text string, y int")
+    hashes, weights = toxicity.fit(known)
+    features = toxicity.Features(hashes, len(weights) - 1)
+    assert len(weights) == len(hashes) + 1 and all(features[w] and weights[list(features[w])].min() > 0 for w in toxic)
+    monkeypatch.setattr(toxicity, "MAX_WEIGHTS", 64)
+    hashes, weights = toxicity.fit(known)
+    features = toxicity.Features(hashes, len(weights) - 1)
+    assert len(weights) == 65 and all(features[w] and weights[list(features[w])].min() > 0 for w in toxic)
+
+
 def test_pipeline_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
