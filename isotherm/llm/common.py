@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotherm.session import materialize
+
 #: words of the text operators: runs of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +38,15 @@ def byte_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+#: column of ``numbered``
+ROW = "_row_number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table with ``ROW``, a number of each row, so that rows of one id or of none can be told apart."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def map_batches(frame: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]) -> DataFrame:
     """Maps Arrow batches to columns; ``make()`` runs once per task and returns the function of one batch."""
     fields = frame.sparkSession.createDataFrame([], schema).schema

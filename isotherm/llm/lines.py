@@ -1,7 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its five-word shingles (a shorter line is one shingle). Two lines match at a Jaccard similarity of
-0.8 or more; a line that matches an earlier one, by document id and line number, is removed. Lines without words stay.
+0.8 or more; a line that matches an earlier one, by document id, row and line number, is removed. Lines without words stay.
 
 Shingles are ordered by rarity. If two sets match, the rarest ``n - ceil(0.8 n) + 1`` shingles of each share one (prefix
 filter); their sizes are within 0.8 of each other (length filter); and the shingles behind the shared one suffice for
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotherm.llm.common import ROW, numbered
 from isotherm.session import materialize
 
 SHINGLE = 5
@@ -60,9 +61,9 @@ def with_shingles(lines: DataFrame) -> DataFrame:
 
 
 def by_line(docs: DataFrame) -> DataFrame:
-    """``doc, line_no, line, line_hash`` of every line with words; a null id sorts first."""
+    """``doc, row, line_no, line, line_hash`` of every line with words; a null id sorts first."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    lines = docs.select(doc.alias("doc"), F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+    lines = docs.select(doc.alias("doc"), F.col(ROW).alias("row"), F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
     return lines.where(F.btrim("line", F.lit(WHITE)) != "").select("*", F.xxhash64("line").alias("line_hash"))
 
 
@@ -92,7 +93,7 @@ def _matches(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def _earlier(a: str, b: str) -> Column:
-    return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
+    return F.struct(*[F.col(f"{a}.{c}") for c in ORDER]) < F.struct(*[F.col(f"{b}.{c}") for c in ORDER])
 
 
 def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -100,14 +101,15 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m)
 
 
-PLACE = ("doc", "line_no", "line_hash")
+ORDER = ("doc", "row", "line_no")
+PLACE = (*ORDER, "line_hash")
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """``doc, line_no, line_hash`` of the lines with words that match no earlier line.
+    """``doc, row, line_no, line_hash`` of the lines with words that match no earlier line.
 
-    ``doc`` is the id (the smallest long for a null one). Rows of one id count as one document: a line never removes the
-    line of the same id and number.
+    ``docs`` has row numbers (``numbered``). ``doc`` is the id (the smallest long for a null one). Every row is a document of
+    its own; rows of one id are ordered by their numbers.
     """
     lines = by_line(docs)
     rank = rarity(lines)
@@ -121,12 +123,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     tokens = stored.where("prefix is not null").select(*PLACE, "n", F.posexplode("prefix").alias("i", "token"))
     group = Window.partitionBy("token").orderBy(*PLACE)
     met = tokens.withColumn("anchor", F.first(F.struct(*PLACE, "n", "i")).over(group)).withColumn("more", F.lead("n").over(group).isNotNull())
-    is_anchor = (F.col("anchor.doc") == F.col("doc")) & (F.col("anchor.line_no") == F.col("line_no")) & (F.col("anchor.line_hash") == F.col("line_hash"))
+    is_anchor = (F.col("anchor.doc") == F.col("doc")) & (F.col("anchor.row") == F.col("row")) & (F.col("anchor.line_no") == F.col("line_no")) & (F.col("anchor.line_hash") == F.col("line_hash"))
     shared = materialize(met.withColumn("is_anchor", is_anchor).where(~F.col("is_anchor") | F.col("more")).drop("more"), "line-shared")
 
     # first round: each set and the earliest line of each of its shingles
     near = shared.where(~F.col("is_anchor")).where(_may_match(F.col("anchor.n"), F.col("anchor.i"), F.col("n"), F.col("i")))
-    pairs = near.select(F.struct(*PLACE).alias("b"), F.struct("anchor.doc", "anchor.line_no", "anchor.line_hash").alias("a"))
+    pairs = near.select(F.struct(*PLACE).alias("b"), F.struct(*[F.col(f"anchor.{c}").alias(c) for c in PLACE]).alias("a"))
     settled = materialize(_verified(docs, rank, pairs), "line-settled")
 
     # second round: sets that are still open and all earlier lines of their shingles but the earliest
@@ -143,9 +145,9 @@ def _verified(docs: DataFrame, rank: Column, pairs: DataFrame) -> DataFrame:
     pairs = materialize(pairs.where(_before(F.col("a"), F.col("b"))).distinct(), "line-pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("p")).select("p.*").distinct()
     # a bit for each document of a candidate, in 128 parts of 4 KB: picks the documents before their lines are dealt out
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("doc", "row"), F.lit(FILTER_BITS))
     bits = involved.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    with_bit = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc")).withColumn("bit", bit)
+    with_bit = docs.select("doc_id", "text", ROW, F.col(ROW).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc")).withColumn("bit", bit)
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
@@ -158,13 +160,13 @@ def _verified(docs: DataFrame, rank: Column, pairs: DataFrame) -> DataFrame:
 
 
 def _before(a: Column, b: Column) -> Column:
-    """Earlier, by document and line number."""
-    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["line_no"] < b["line_no"]))
+    """Earlier, by document, row and line number."""
+    return F.struct(*[a[c] for c in ORDER]) < F.struct(*[b[c] for c in ORDER])
 
 
 def _kept_of(docs: DataFrame) -> DataFrame:
-    """``doc, kept``: the kept lines of each document as one list; a document's own lines bound it."""
-    return kept_lines(docs).groupBy("doc").agg(F.collect_list(F.struct("line_no", "line_hash")).alias("kept"))
+    """``row, kept``: the kept lines of each row as one list; the row's own lines bound it."""
+    return kept_lines(docs).groupBy("row").agg(F.collect_list(F.struct("line_no", "line_hash")).alias("kept"))
 
 
 def _with_removed(rows: DataFrame) -> DataFrame:
@@ -180,11 +182,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with matching later lines taken out of ``text`` (and ``n_chars`` counted anew where it is there).
 
     A text of which no line goes, null and empty texts among them, stays as it is; a text that loses all lines becomes
-    empty. Rows of one id count as one document; repeated rows are treated alike.
+    empty. Every row is a document of its own: of exact copies, the row read first keeps its lines, whatever their ids.
     """
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    kept = _kept_of(docs).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_doc", doc).join(kept, "_doc", "left")
+    rows = numbered(docs)
+    kept = _kept_of(rows).select(F.col("row").alias(ROW), F.col("kept").alias("_kept"))
+    joined = rows.join(kept, ROW, "left")
     marked = _with_removed(joined.withColumn("_lines", split_lines(F.coalesce("text", F.lit("")))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
     text = F.when(F.size("_removed") > 0, F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")).otherwise(F.col("text"))
@@ -194,11 +196,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` of every row: how many lines it has and which go, counted from 0."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     # only hashes of lines are dealt out beside the kept lines
     hashes = F.transform(split_lines(F.col("text")), lambda line: F.when(F.btrim(line, F.lit(WHITE)) != "", F.xxhash64(line)))
-    rows = slim.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc"), hashes.alias("hashes"))
-    joined = rows.join(_kept_of(slim), "doc", "left")
+    rows = slim.select("doc_id", F.col(ROW).alias("row"), hashes.alias("hashes"))
+    joined = rows.join(_kept_of(slim), "row", "left")
     own = F.filter(F.coalesce("kept", F.array().cast("array<struct<line_no:int,line_hash:bigint>>")), lambda k: F.get(F.col("hashes"), k["line_no"]) == k["line_hash"])
     worded = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get(F.col("hashes"), i).isNotNull())
     removed = joined.select("doc_id", F.size("hashes").alias("n_lines"), F.array_except(worded, F.transform(own, lambda k: k["line_no"])).alias("removed"))

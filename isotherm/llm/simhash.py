@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import byte_words, map_batches, texts
+from isotherm.llm.common import ROW, byte_words, map_batches, numbered, texts
 from isotherm.llm.graph import components
 from isotherm.session import materialize
 
@@ -37,8 +37,8 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashed)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, print`` (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, size: int = 3, id_column: str = "doc_id") -> DataFrame:
+    """``doc_id`` (of ``id_column``), ``print`` (the 64 bits as a signed long) of every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
         return step
 
-    return map_batches(texts(docs), "doc_id long, print long", make)
+    return map_batches(texts(docs, id_column), "doc_id long, print long", make)
 
 
 def _keys(prints: DataFrame) -> DataFrame:
@@ -84,6 +84,12 @@ def linked(prints: DataFrame, bits: int = 3) -> DataFrame:
     return a.join(b, same & met).select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
 
 
+def _placed(prints: DataFrame, bits: int) -> DataFrame:
+    """Adds ``root``, the component's smallest fingerprint, to distinct fingerprints ``print``."""
+    roots = components(linked(prints.select("print"), bits))
+    return prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -91,9 +97,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     like any others); it is null only where no row of the component has an id. Repeated rows are returned each.
     """
     rows = materialize(fingerprints(docs, size), "fingerprints")
-    prints = rows.groupBy("print").agg(F.min("doc_id").alias("low"))
-    roots = components(linked(prints.select("print"), bits))
-    placed = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    placed = _placed(rows.groupBy("print").agg(F.min("doc_id").alias("low")), bits)
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = placed.join(ids, "root").select("print", "component_id")
     # rows of one fingerprint may be a third of all; the table beside them has one row for each fingerprint
@@ -101,11 +105,14 @@ def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
-    """``docs`` without later members of a component: the row with the component's smallest id stays.
-
-    Of repeated rows of the id that stays, one stays. Rows without id stay, as nothing can name them. All columns are kept.
+    """``docs`` without later members of a component: of each, the row with the smallest id stays (without ids, the row
+    read first). Of several rows of that id, the first of them stays; rows of one id in two components are two documents.
+    All columns are kept.
     """
-    found = near_duplicates(docs, bits, size)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    rows = numbered(docs)
+    found = fingerprints(rows, size, ROW).withColumnRenamed("doc_id", ROW)
+    with_id = materialize(found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))
+    placed = _placed(with_id.groupBy("print").agg(first.alias("low")), bits)
+    stays = placed.groupBy("root").agg(F.min("low").alias("low")).select(F.col(f"low.{ROW}").alias(ROW))
+    return rows.join(stays, ROW, "left_semi").select(*docs.columns)

@@ -111,6 +111,16 @@ def test_lines_odd_rows(spark):
     assert lines.report(frame(spark, [])).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids_are_documents(spark):
+    docs = frame(spark, ["same line", "same line", "same line\nother", "one text", "two words more"], [None, None, None, 3, 3])
+    rows = [(r["doc_id"], r["text"]) for r in lines.dedup(docs).collect()]
+    assert sum("same line" in t for _, t in rows) == 1 and sum("other" in t for _, t in rows) == 1 and len(rows) == 5
+    assert sum(r["n_removed"] for r in lines.report(docs).collect()) == 2
+    base = " ".join(f"w{k}" for k in range(300))
+    kept = simhash.keep_one(frame(spark, [base, base, "quite other words", "a text of its own", base], [None, None, 3, 3, None])).collect()
+    assert sorted(r["text"] for r in kept) == sorted([base, "quite other words", "a text of its own"])
+
+
 def test_neighbours(spark):
     random_ = np.random.default_rng(3)
     vectors = [(i, v.tolist()) for i, v in enumerate(random_.normal(size=(300, 8)))]
