@@ -3,8 +3,8 @@
 A dynamic programme over the global histogram of lengths picks the bucket boundaries that leave the least padding; every
 document goes to the narrowest bucket that holds it, and batches of a token budget form inside each bucket.
 
-The histogram is bounded whatever the corpus: lengths above 1,024 are rounded up to ten leading bits, which makes at most
-512 levels per doubling and costs less than 0.2 % of padding. Positions inside a bucket come from small shards (a hash of
+The histogram is exact: one row for each distinct length. Distinct lengths are few (k of them take at least k (k + 1) / 2
+tokens), and the programme takes steps in proportion to their number. Positions inside a bucket come from small shards (a hash of
 the row) and the shards' offsets, so a bucket that holds a third of all documents is numbered by many tasks.
 """
 
@@ -18,18 +18,10 @@ from pyspark.sql import functions as F
 from isotherm.llm.common import texts, word_count
 from isotherm.session import materialize
 
-EXACT = 1024
 #: rows a shard of a bucket holds on average
 SHARD_ROWS = 20_000
 
 
-def level(length: Column) -> Column:
-    """The length itself up to 1,024; above, rounded up to ten leading bits."""
-    # the step is a power of two: 2 for lengths up to 2,048, 4 up to 4,096 and so on
-    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length - 1)) - 10)).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / unit).cast("long") * unit)
-
-
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least total padding over ``(length, count)``.
 
@@ -103,15 +95,15 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, length: Colum
         sized = texts(docs).select("doc_id", (word_count(F.col("text")) + 1).cast("long").alias("n_tokens"))
     else:
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(1), F.coalesce(length, F.lit(1))).cast("long").alias("n_tokens"))
-    sized = materialize(sized.select("*", level(F.col("n_tokens")).alias("level"), F.monotonically_increasing_id().alias("row")), "lengths")
-    histogram = [(r["level"], r["n"]) for r in sized.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sized = materialize(sized.select("*", F.monotonically_increasing_id().alias("row")), "lengths")
+    histogram = [(r["n_tokens"], r["n"]) for r in sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()]
     bounds = boundaries(histogram, buckets)
     if not bounds:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, pad_to long, batch long, slot int")
     shards = max(1, -(-sum(n for _, n in histogram) // SHARD_ROWS))
     steps = F.array(*[F.lit(b).cast("long") for b in bounds])
     placed = (
-        sized.withColumn("bucket", F.size(F.filter(steps, lambda b: b < F.col("level"))))
+        sized.withColumn("bucket", F.size(F.filter(steps, lambda b: b < F.col("n_tokens"))))
         .withColumn("pad_to", F.element_at(steps, F.col("bucket") + 1))
         .withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(shards)))
     )

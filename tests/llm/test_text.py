@@ -189,6 +189,12 @@ def test_pack(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_long_documents_get_exact_boundaries(spark):
+    sizes = [1500, 1501, 3001, 9999, 20_021]
+    rows = packing.pack(frame(spark, ["w " * (n - 1) for n in sizes])).collect()
+    assert sorted((r["n_tokens"], r["pad_to"]) for r in rows) == [(n, n) for n in sizes]
+
+
 def test_isotonic_curve():
     knots, levels = quality.pooled([(0.1, 1, 1), (0.2, 1, 0), (0.3, 2, 1), (0.4, 1, 1)])
     assert list(levels) == sorted(levels) and np.isclose(levels[0], 0.5) and levels[-1] == 1
