@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,5 +67,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     outlives any executor.
     """
     path = staging_path(df.sparkSession, name)
+    for paths in _RECORDERS:
+        paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: path of each frame that ``materialize`` returned, while the frame lives
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_RECORDERS: list[list[str]] = []
+
+
+def delete_staged(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete staged tables by path; one that is gone already is no error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``materialize`` returned, after their last reader has run.
+
+    Nothing may read them later, directly or through a frame made from them.
+    """
+    for frame in frames:
+        path = _PATHS.pop(frame, None)
+        if path is not None:
+            delete_staged(frame.sparkSession, [path])
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``materialize`` writes inside the block, so that they can be deleted when its results are read."""
+    paths: list[str] = []
+    _RECORDERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDERS.remove(paths)
