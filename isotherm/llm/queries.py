@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isotherm.llm import bpe, language, lines, media, neighbours, packing, quality, secret_scan, simhash, toxicity
+from isotherm.llm import bpe, language, lines, media, neighbours, packing, phrases, quality, secret_scan, simhash, toxicity, whitening
 from isotherm.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,12 +53,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_media_columns, op3_quality_classifier, op4_line_dedup, op5_toxicity,
         op6_simhash, op7_nearest_neighbours, op8_secret_scans, op9_bpe, op10_packing,
+        op11_phrases, op13_whitening,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_phrases": phrases.ORACLE_SQL}
