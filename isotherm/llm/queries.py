@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isotherm.llm import bpe, language, lines, media, neighbours, packing, phrases, quality, secret_scan, simhash, toxicity, whitening
+from isotherm.llm import bpe, extraction, language, lines, media, neighbours, packing, phrases, quality, secret_scan, simhash, toxicity, whitening
 from isotherm.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_lm_scoring, op2_media_columns, op3_quality_classifier, op4_line_dedup, op5_toxicity,
         op6_simhash, op7_nearest_neighbours, op8_secret_scans, op9_bpe, op10_packing,
-        op11_phrases, op13_whitening,
+        op11_phrases, op12_html_extraction, op13_whitening,
     )
 }
 
