@@ -165,53 +165,57 @@ def gated_table(anchors: DataFrame, shifts: DataFrame, var: str, keys: Sequence[
     return pin_heads(rows).withColumn("var", F.lit(var)).select("cell_key", "var", "doy", "hres", *DELTA_COLUMNS)
 
 
+def pack_surface(surface: DataFrame) -> DataFrame:
+    """One row per cell and metric: the day anchors, the value anchors, and the nine deltas of every pair of them in one list.
+
+    The list runs over the values of the first day, then of the second; a point the surface lacks is null. It has at most
+    53 x 15 entries.
+    """
+    point = F.struct("doy", "hres", F.array(*DELTA_COLUMNS).alias("heads"))
+    packed = surface.groupBy("cell_key", "var").agg(F.array_sort(F.collect_list(point)).alias("_points"))
+    packed = packed.withColumn("_d", F.array_distinct(F.transform("_points", lambda p: p["doy"]))).withColumn("_h", F.array_sort(F.array_distinct(F.transform("_points", lambda p: p["hres"]))))
+    heads = F.transform("_points", lambda p: p["heads"])
+    at = lambda d, h: F.get(F.filter("_points", lambda p: (p["doy"] == d) & (p["hres"] == h)), F.lit(0))["heads"]
+    filled = F.flatten(F.transform("_d", lambda d: F.transform("_h", lambda h: at(d, h))))
+    dense = F.size("_points") == F.size("_d") * F.size("_h")
+    return packed.select("cell_key", "var", "_d", "_h", F.when(dense, heads).otherwise(filled).alias("_grid"))
+
+
 def bilinear_lookup(requests: DataFrame, surface: DataFrame, request_id: Sequence[str]) -> DataFrame:
     """Nine deltas per request: linear in the forecast value, circular-linear in the day.
 
-    Requests carry ``cell_key``, ``var``, ``doy`` and ``value``. Each becomes at most four
-    weighted corners, so the surface is met by one equi-join on its whole key and the
-    corners are summed before they leave a task.
+    Requests carry ``cell_key``, ``var``, ``doy`` and ``value``. The one join is with the packed surface of the request's cell
+    and metric; its four corners are read by place. Corners that the surface lacks count nothing; without any corner there is no row.
     """
-    axes = surface.groupBy("cell_key", "var").agg(
-        F.array_sort(F.collect_set("hres")).alias("_h"),  # at most 15 value anchors
-        F.array_sort(F.collect_set("doy")).alias("_d"),  # at most 53 day anchors
-    )
     ids = list(request_id)
-    placed = requests.select(*ids, "cell_key", "var", F.col("doy").alias("_day"), F.col("value").alias("_value")).join(
-        axes, ["cell_key", "var"]
-    )
+    placed = requests.select(*ids, "cell_key", "var", F.col("doy").alias("_day"), F.col("value").alias("_value")).join(pack_surface(surface), ["cell_key", "var"])
     value = F.least(F.greatest(F.col("_value"), F.col("_h")[0]), F.element_at("_h", -1))
-    placed = placed.withColumn("_v", value).withColumn("_hi", F.size(F.filter("_h", lambda a: a < F.col("_v"))))
-    placed = placed.withColumn("_lo", F.greatest(F.col("_hi") - 1, F.lit(0)))
-    h0, h1 = F.get("_h", F.col("_lo")), F.get("_h", F.col("_hi"))
-    below = F.array_max(F.filter("_d", lambda d: d <= F.col("_day")))
-    above = F.array_min(F.filter("_d", lambda d: d >= F.col("_day")))
-    placed = placed.withColumns(
-        {
-            "_h0": h0,
-            "_h1": h1,
-            "_d0": F.coalesce(below, F.element_at("_d", -1)),
-            "_d1": F.coalesce(above, F.element_at("_d", 1)),
-        }
-    )
-    tw = F.when(F.col("_h1") == F.col("_h0"), 0.0).otherwise((F.col("_v") - F.col("_h0")) / (F.col("_h1") - F.col("_h0")))
-    span = F.pmod(F.col("_d1") - F.col("_d0"), F.lit(365))
-    dw = F.pmod(F.col("_day") - F.col("_d0"), F.lit(365)) / F.when(span == 0, 1).otherwise(span)
-    placed = placed.withColumn("_tw", tw).withColumn("_dw", dw)
+    days, width = F.size("_d"), F.size("_h")
+    hi = F.size(F.filter("_h", lambda a: a < value))
+    # places of the last day anchor up to the day and of the first from it on; past the ends the year goes round
+    upto = F.size(F.filter("_d", lambda d: d <= F.col("_day")))
+    below = F.size(F.filter("_d", lambda d: d < F.col("_day")))
+    placed = placed.select(
+        *ids, "_day", "_grid", "_d", "_h", width.alias("_w"), value.alias("_v"), hi.alias("_hi"), F.greatest(hi - 1, F.lit(0)).alias("_lo"),
+        F.when(upto == 0, days - 1).otherwise(upto - 1).alias("_i0"), F.when(below == days, 0).otherwise(below).alias("_i1"),
+    )
+    h0, h1, d0, d1 = F.get("_h", F.col("_lo")), F.get("_h", F.col("_hi")), F.get("_d", F.col("_i0")), F.get("_d", F.col("_i1"))
+    tw = F.when(h1 == h0, 0.0).otherwise((F.col("_v") - h0) / (h1 - h0))
+    span = F.pmod(d1 - d0, F.lit(365))
+    dw = F.pmod(F.col("_day") - d0, F.lit(365)) / F.when(span == 0, 1).otherwise(span)
+
+    def corner(i: str, j: str) -> Column:
+        return F.get("_grid", F.col(i) * F.col("_w") + F.col(j))
+
+    corners = placed.select(*ids, tw.alias("_tw"), dw.alias("_dw"), corner("_i0", "_lo").alias("_a"), corner("_i0", "_hi").alias("_b"), corner("_i1", "_lo").alias("_c"), corner("_i1", "_hi").alias("_e"))
+    t, d = F.col("_tw"), F.col("_dw")
+    weights = {"_a": (1 - d) * (1 - t), "_b": (1 - d) * t, "_c": d * (1 - t), "_e": d * t}
+    known = corners.where(" OR ".join(f"{k} IS NOT NULL" for k in weights))
 
-    def corner(day: str, dweight: Column, at: str, tweight: Column) -> Column:
-        return F.struct(F.col(day).alias("doy"), F.col(at).alias("hres"), (dweight * tweight).alias("w"))
+    def blend(k: int) -> Column:
+        return sum((F.when(w != 0, F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) * w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
 
-    t, d = F.col("_tw"), F.col("_dw")
-    corners = F.array(
-        corner("_d0", 1 - d, "_h0", 1 - t), corner("_d0", 1 - d, "_h1", t), corner("_d1", d, "_h0", 1 - t), corner("_d1", d, "_h1", t)
-    )
-    exploded = (
-        placed.select(*ids, "cell_key", "var", F.explode(F.filter(corners, lambda c: c["w"] != 0)).alias("_c"))
-        .select(*ids, "cell_key", "var", "_c.doy", "_c.hres", F.col("_c.w").alias("_w"))
-    )
-    joined = exploded.join(surface, ["cell_key", "var", "doy", "hres"])
-    return joined.groupBy(*ids).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in DELTA_COLUMNS])
+    return known.select(*ids, *[blend(k).alias(c) for k, c in enumerate(DELTA_COLUMNS)])
 
 
 QM_POINTS = 101

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from isotherm.functions import geo
 from isotherm.operators.keyed import top_row
 from isotherm.operators.order_stats import global_row_number
+from isotherm.operators.prefix import NUMBER, scan
 from isotherm.operators.spatial import places_named
 
 CAP_KM = 25.0
@@ -27,10 +28,8 @@ def merge_selections(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union by coordinate, the second selection winning, renumbered by population."""
     both = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1)), allowMissingColumns=True)
     single = top_row(both, ["lat", "lon"], [F.col("_p")]).drop("_p", "cell_id")
-    # larger populations come first, so the bucket falls with them
-    bucket = -F.floor(F.log2(F.col("population") + 1) * 64)
-    ranked = global_row_number(single, bucket, [F.col("population").desc(), F.col("lat"), F.col("lon")], "_n")
-    return ranked.withColumn("cell_id", F.col("_n") - 1).drop("_n")
+    ranked = scan(single, [F.col("population").desc(), F.col("lat"), F.col("lon")])
+    return ranked.withColumn("cell_id", F.col(NUMBER) - 1).drop(NUMBER, "rows")
 
 
 def snap_plan(movers: DataFrame, cells: DataFrame, cap_km: float = CAP_KM) -> DataFrame:

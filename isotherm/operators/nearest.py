@@ -4,7 +4,7 @@ Phase one looks in the 3 x 3 buckets around a query. That answer is final when i
 than anything outside those buckets can be. For the few queries where it is not, the
 occupied buckets are summarised (centre and radius; their number has a fixed bound set by
 the globe and the bucket size), each query keeps only the buckets that could still hold the
-nearest place, and only those are joined.
+nearest place, and only those are joined. What a step leaves open is a written table, so the plan repeats no step.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.functions import geo
+from isotherm.session import materialize
+
+#: buckets a side of the blocks above them
+BLOCK = 10
 
 
 class Sphere:
@@ -109,44 +113,50 @@ def nearest(
     rest = queries.select(*columns)
     answers = None
     for size in sizes:
-        tried = rest.join(best(candidates(rest, side, metric, size, within)), ids, "left")
-        settled = F.coalesce(F.col("_best.dist") <= metric.reach(F.col("y"), size), F.lit(False))
+        # stored: what is settled and what is not are read from it, and no later size repeats this one
+        tried = materialize(rest.join(best(candidates(rest, side, metric, size, within)), ids, "left"), "nearest")
+        # a place outside the buckets may lie exactly at the reach and win the tie
+        settled = F.coalesce(F.col("_best.dist") < metric.reach(F.col("y"), size), F.lit(False))
         found = tried.where(settled).select(*ids, "_best")
         answers = found if answers is None else answers.unionByName(found)
         rest = tried.where(~settled).select(*columns)
-
-    # occupied buckets: bounded by the extent of the plane or globe, not by the rows in it
-    by, bx = metric.buckets(F.col("py"), F.col("px"), summary_size)
-    keyed = side.withColumn("_by", by).withColumn("_bx", bx)
-    centre = keyed.groupBy(*within, "_by", "_bx").agg(F.avg("py").alias("_cy"), F.avg("px").alias("_cx"))
-    summary = (
-        keyed.join(centre, [*within, "_by", "_bx"])
-        .withColumn("_d", metric.distance(F.col("_cy"), F.col("_cx"), F.col("py"), F.col("px")))
-        .groupBy(*within, "_by", "_bx", "_cy", "_cx")
-        .agg(F.max("_d").alias("_r"))
-        .withColumn("_one", F.lit(1))
-        .groupBy("_one", *within)
-        .agg(F.collect_list(F.struct("_by", "_bx", "_cy", "_cx", "_r")).alias("_buckets"))
-    )
-    gap = metric.distance(F.col("y"), F.col("x"), F.col("_s._cy"), F.col("_s._cx"))
-    bounds = (
-        rest.withColumn("_one", F.lit(1))
-        .join(F.broadcast(summary) if not within else summary, ["_one", *within])
-        .withColumn("_s", F.explode("_buckets"))
-        .drop("_buckets", "_one")
-        .withColumn("_near", gap - F.col("_s._r"))
-        .withColumn("_far", gap + F.col("_s._r"))
-    )
-    limit = bounds.groupBy(*ids).agg(F.min("_far").alias("_limit"))
-    open_buckets = (
-        bounds.join(limit, ids)
-        .where(F.col("_near") <= F.col("_limit") + 1e-6)
-        .select(*columns, F.col("_s._by").alias("_by"), F.col("_s._bx").alias("_bx"))
-    )
-    answers = answers.unionByName(best(open_buckets.join(keyed, [*within, "_by", "_bx"])))
+    answers = answers.unionByName(best(_open_places(rest, side, ids, columns, within, metric, summary_size)))
     return (
         queries.join(answers, ids, "left")
         .withColumn("dist", F.col("_best.dist"))
         .withColumns({p: F.col(f"_best.{p}") for p in payload})
         .drop("_best")
     )
+
+
+def _open_places(rest: DataFrame, side: DataFrame, ids: list[str], columns: list[str], within: list[str], metric: Sphere | Plane, size: float) -> DataFrame:
+    """Query-place pairs that hold the nearest place of every open query, wherever it is.
+
+    Occupied buckets and, above them, blocks of BLOCK x BLOCK buckets are summarised by centre and radius. A query first
+    drops the blocks that cannot reach its nearest place, then the buckets of the blocks left, and meets the places of the rest.
+    On a globe there are at most 36 blocks; only open queries come here.
+    """
+    by, bx = metric.buckets(F.col("py"), F.col("px"), size)
+    keyed = side.withColumn("_by", by).withColumn("_bx", bx).withColumn("_ky", F.floor(F.col("_by") / BLOCK).cast("int")).withColumn("_kx", F.floor(F.col("_bx") / BLOCK).cast("int"))
+
+    def summary(*keys: str) -> DataFrame:
+        group = [*within, *keys]
+        centre = keyed.groupBy(*group).agg(F.avg("py").alias("_cy"), F.avg("px").alias("_cx"))
+        apart = metric.distance(F.col("_cy"), F.col("_cx"), F.col("py"), F.col("px"))
+        return keyed.join(centre, group).groupBy(*group, "_cy", "_cx").agg(F.max(apart).alias("_r"))
+
+    gap = metric.distance(F.col("y"), F.col("x"), F.col("_cy"), F.col("_cx"))
+
+    def reachable(pairs: DataFrame, keep: list[str]) -> DataFrame:
+        """Pairs of a query and a bucket that may hold its nearest place: no farther than the least certain distance."""
+        bounded = pairs.withColumn("_near", gap - F.col("_r")).withColumn("_far", gap + F.col("_r")).drop("_cy", "_cx", "_r")
+        limit = bounded.groupBy(*ids).agg(F.min("_far").alias("_limit"))
+        return bounded.join(limit, ids).where(F.col("_near") <= F.col("_limit") + 1e-6).select(*columns, *keep)
+
+    # the blocks of a group are few: one list each, opened once per query
+    blocks = summary("_ky", "_kx").withColumn("_one", F.lit(1)).groupBy("_one", *within).agg(F.collect_list(F.struct("_ky", "_kx", "_cy", "_cx", "_r")).alias("_blocks"))
+    opened = rest.withColumn("_one", F.lit(1)).join(F.broadcast(blocks) if not within else blocks, ["_one", *within]).select(*columns, F.inline("_blocks"))
+    near_blocks = materialize(reachable(opened, ["_ky", "_kx"]), "nearest")
+    fine = summary("_ky", "_kx", "_by", "_bx")
+    near_buckets = reachable(near_blocks.join(fine, [*within, "_ky", "_kx"]), ["_by", "_bx"])
+    return near_buckets.join(keyed.drop("_ky", "_kx"), [*within, "_by", "_bx"])

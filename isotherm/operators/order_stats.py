@@ -106,6 +106,25 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return _with_keys(pairs, keys, "n", F.array(*values).alias(name))
 
 
+#: weights are added up as whole parts of this size, so their sums are exact in any order
+WEIGHT_UNIT = 1e-6
+
+
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: Column, probs: Sequence[float], name: str = "q") -> DataFrame:
+    """Quantiles by cumulative weight, exact: keys, ``n`` (the weight in units of WEIGHT_UNIT) and an array column ``name``.
+
+    The quantile of p is the smallest value up to which at least p of the weight lies. Weights are rounded to the unit;
+    rows without weight take no part.
+    """
+    units = F.floor(weight * F.lit(1 / WEIGHT_UNIT) + 0.5).cast("long")
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("_all"))
+    pool = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key.alias("_k"), (F.col(value).cast("double") + F.lit(0.0)).alias("_v"), units.alias("_w")).where("_w > 0")
+    counted = pool.groupBy("_k", "_v").agg(F.sum("_w").alias("_c"))
+    wanted = lambda n: F.array(*[F.greatest(F.ceil(n * F.lit(float(p))) - 1, F.lit(0)).cast("long") for p in probs])
+    found = _at_positions(counted, wanted).groupBy("_k", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_m"))
+    return _with_keys(found, keys, "n", F.array(*[F.element_at("_m", F.lit(j)) for j in range(len(probs))]).alias(name))
+
+
 def conformal_position(n: Column, level: float) -> Column:
     """0-based position of the one-sided finite-sample rank for a level."""
     if level > 0.5:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from isotherm.functions import bands, calendar
 from isotherm.operators.order_stats import tail_position
@@ -75,81 +74,101 @@ def record_value(share: Column, high_side: Column) -> Column:
     return F.when(high_side, F.get("top", (n - 1 - at).cast("int"))).otherwise(F.get("bottom", at))
 
 
-def history_pools(history: DataFrame, targets: DataFrame, value: str, radius: int = WINDOW_DAYS, keep: int = ALL_TIME + 1) -> DataFrame:
-    """What each target day had before it: the season's window and the whole record.
+def _largest(values: Column, keep: int) -> Column:
+    return F.slice(F.sort_array(values, asc=False), 1, keep)
 
-    ``window`` holds the values of the days within ``radius`` of the target's month and day
-    in every earlier year, ``n_all`` counts all earlier days, and ``top``/``bottom`` are the
-    most extreme ``keep`` of them. The record is kept as extremes per year plus the days of
-    the running year, so no target meets its whole history. Targets need ``cell_key`` and
-    ``date``; the result has one row per target.
-    """
-    days = history.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        "cell_key", "date", F.year("date").alias("_y"), F.col(value).alias("_v")
-    )
-    asked = targets.select("cell_key", "date").distinct()
 
-    # season window: every history day serves the month-days around it in its own year
-    spread = days.withColumn(
-        "_c", F.explode(F.sequence(F.date_sub("date", radius), F.date_add("date", radius)))
-    ).where(F.year("_c") == F.col("_y"))
-    plain = asked.select("cell_key", F.col("date").alias("_t"), F.date_format("date", "MM-dd").alias("_md"))
-    # a Feb 29 target sits on Mar 1 in common years
-    rolled = plain.where("_md = '02-29'").withColumn("_md", F.lit("03-01")).withColumn("_rolled", F.lit(True))
-    keyed = plain.withColumn("_rolled", F.lit(False)).unionByName(rolled)
-    common_year = calendar.days_in_year(F.col("_y")) == 365
-    window = (
-        spread.withColumn("_md", F.date_format("_c", "MM-dd"))
-        .join(keyed, ["cell_key", "_md"])
-        .where((F.col("date") < F.col("_t")) & (~F.col("_rolled") | common_year))
-        .groupBy("cell_key", F.col("_t").alias("date"))
-        .agg(F.array_sort(F.collect_list("_v")).alias("window"))
-    )
+def _smallest(values: Column, keep: int) -> Column:
+    return F.slice(F.sort_array(values), 1, keep)
 
-    # record: extremes of finished years, then of the running year up to the day before
-    def largest(values: Column) -> Column:
-        return F.slice(F.sort_array(values, asc=False), 1, keep)
 
-    def smallest(values: Column) -> Column:
-        return F.slice(F.sort_array(values), 1, keep)
+#: months are numbered from year 0, so a prefix of them is at most so many aligned blocks
+BLOCK_LEVELS = 16
 
-    years = days.groupBy("cell_key", "_y").agg(F.collect_list("_v").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    years = years.select("cell_key", "_y", "_n", largest(F.col("_all")).alias("_t"), smallest(F.col("_all")).alias("_b"))
-    past = Window.partitionBy("cell_key").orderBy("_y").rangeBetween(Window.unboundedPreceding, -1)
-    asked_years = asked.select("cell_key", F.year("date").alias("_y")).distinct()
-    empty = F.array().cast("array<double>")
-    all_years = asked_years.select(
-        "cell_key", "_y", F.lit(0).cast("long").alias("_n"), empty.alias("_t"), empty.alias("_b")
-    ).unionByName(years).groupBy("cell_key", "_y").agg(
-        F.sum("_n").alias("_n"), F.flatten(F.collect_list("_t")).alias("_t"), F.flatten(F.collect_list("_b")).alias("_b")
-    )
-    before_years = all_years.select(
-        "cell_key",
-        "_y",
-        F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_pn"),
-        largest(F.flatten(F.collect_list("_t").over(past))).alias("_pt"),
-        smallest(F.flatten(F.collect_list("_b").over(past))).alias("_pb"),
-    )
-    marked = days.select("cell_key", "date", "_y", "_v").unionByName(
-        asked.select("cell_key", "date", F.year("date").alias("_y"), F.lit(None).cast("double").alias("_v"))
+
+def _record_blocks(days: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """The months of each cell with their days, and aligned blocks of 1, 2, 4, ... months with their count and extremes.
+
+    Any run of months from the start is a union of one block per set bit of its length, so only blocks at even places are kept.
+    """
+    values = F.transform("_days", lambda d: d["v"])
+    months = days.groupBy("cell_key", "_m").agg(F.collect_list(F.struct("date", F.col("_v").alias("v"))).alias("_days"))
+    ends = months.select("cell_key", "_m", F.size("_days").cast("long").alias("_n"), _largest(values, keep).alias("_t"), _smallest(values, keep).alias("_b"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_LEVELS - 1))).alias("_level")
+    placed = ends.select("cell_key", levels, "_m", "_n", "_t", "_b").withColumn("_at", F.expr("shiftright(_m, _level)")).where("_at % 2 = 0")
+    blocks = placed.groupBy("cell_key", "_level", "_at").agg(
+        F.sum("_n").alias("_n"), _largest(F.flatten(F.collect_list("_t")), keep).alias("_t"), _smallest(F.flatten(F.collect_list("_b")), keep).alias("_b")
     )
-    # the date as a day number gives the frame "strictly before this day"
-    same_year = Window.partitionBy("cell_key", "_y").orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, -1)
-    running = (
-        marked.withColumn("_own", F.collect_list("_v").over(same_year))
-        .where(F.col("_v").isNull())
-        .select("cell_key", "date", "_y", "_own")
+    return months, blocks
+
+
+def _record_before(days: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """``cell_key, date, n_all, top, bottom`` of all days before each asked day: whole months from blocks, its own month by date."""
+    months, blocks = _record_blocks(days, keep)
+    own = asked.withColumn("_m", _month_number(F.col("date")))
+    # a prefix is worked out once for all asked days of a month
+    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCK_LEVELS - 1)), lambda j: F.floor(F.col("_m") / F.pow(F.lit(2.0), j)) % 2 == 1)).alias("_level")
+    wanted = own.select("cell_key", "_m").distinct().select("cell_key", "_m", bits).withColumn("_at", F.expr("shiftright(_m, _level) - 1"))
+    prefix = wanted.join(blocks, ["cell_key", "_level", "_at"]).groupBy("cell_key", "_m").agg(
+        F.sum("_n").alias("_pn"), _largest(F.flatten(F.collect_list("_t")), keep).alias("_pt"), _smallest(F.flatten(F.collect_list("_b")), keep).alias("_pb")
     )
-    record = running.join(before_years, ["cell_key", "_y"]).select(
+    empty = F.array().cast("array<double>")
+    earlier = F.transform(F.filter(F.coalesce("_days", F.array().cast("array<struct<date:date,v:double>>")), lambda d: d["date"] < F.col("date")), lambda d: d["v"])
+    joined = own.join(prefix, ["cell_key", "_m"], "left").join(months, ["cell_key", "_m"], "left").withColumn("_own", earlier)
+    return joined.select(
         "cell_key",
         "date",
-        (F.col("_pn") + F.size("_own")).alias("n_all"),
-        largest(F.concat("_pt", "_own")).alias("top"),
-        smallest(F.concat("_pb", "_own")).alias("bottom"),
+        (F.coalesce("_pn", F.lit(0)) + F.size("_own")).alias("n_all"),
+        _largest(F.concat(F.coalesce("_pt", empty), "_own"), keep).alias("top"),
+        _smallest(F.concat(F.coalesce("_pb", empty), "_own"), keep).alias("bottom"),
     )
-    return record.join(window, ["cell_key", "date"], "left").withColumn(
-        "window", F.coalesce("window", empty)
+
+
+def _month_number(date: Column) -> Column:
+    return (F.year(date) * 12 + F.month(date) - 1).cast("int")
+
+
+#: a leap and a common year, in which the days around an anchor are looked up
+_LEAP, _COMMON = 2000, 2001
+
+
+def _season_before(days: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """``cell_key, date, window``: values of the days around each asked day's month and day, in its own and all earlier years.
+
+    The asked month-days are spread over their neighbours, not the history: a cell's history is one list per month-day,
+    and each asked month-day meets the few lists of its window once, however many years ask for it.
+    """
+    leap = F.col("_y") == _LEAP
+    lists = days.groupBy("cell_key", F.date_format("date", "MM-dd").alias("_md"), (calendar.days_in_year(F.year("date")) == 366).alias("_leap")).agg(
+        F.collect_list(F.struct("date", F.col("_v").alias("v"))).alias("_list")
     )
+    keyed = asked.withColumn("_md", F.date_format("date", "MM-dd"))
+    # Feb 29 sits on Mar 1 in common years
+    month, day = F.substring("_md", 1, 2).cast("int"), F.substring("_md", 4, 2).cast("int")
+    kinds = keyed.select("cell_key", "_md").distinct().withColumn("_y", F.explode(F.array(F.lit(_LEAP), F.lit(_COMMON))))
+    anchor = F.date_add(F.make_date("_y", month, F.lit(1)), day - 1)
+    near = kinds.withColumn("_d", F.explode(F.sequence(F.date_sub(anchor, radius), F.date_add(anchor, radius)))).where(F.year("_d") == F.col("_y"))
+    spread = near.select("cell_key", F.col("_md").alias("_asked"), leap.alias("_leap"), F.date_format("_d", "MM-dd").alias("_md"))
+    pools = spread.join(lists, ["cell_key", "_md", "_leap"]).groupBy("cell_key", F.col("_asked").alias("_md")).agg(F.flatten(F.collect_list("_list")).alias("_pool"))
+    before = F.transform(F.filter("_pool", lambda d: d["date"] < F.col("date")), lambda d: d["v"])
+    return keyed.join(pools, ["cell_key", "_md"]).select("cell_key", "date", F.array_sort(before).alias("window"))
+
+
+def history_pools(history: DataFrame, targets: DataFrame, value: str, radius: int = WINDOW_DAYS, keep: int = ALL_TIME + 1) -> DataFrame:
+    """What each target day had before it: the season's window and the whole record.
+
+    ``window`` holds the values of the days within ``radius`` of the target's month and day
+    in its own and every earlier year, ``n_all`` counts all earlier days, and ``top``/``bottom`` are the
+    most extreme ``keep`` of them. Targets meet a few blocks of months and the lists of a few month-days, never a
+    history of days. Targets need ``cell_key`` and ``date``; the result has one row per target.
+    """
+    asked = targets.select("cell_key", "date").distinct()
+    days = history.where(F.col(value).isNotNull() & ~F.isnan(value)).select("cell_key", "date", F.col(value).cast("double").alias("_v"))
+    # cells that nobody asks for stay out of every shuffle below
+    days = days.join(asked.select("cell_key").distinct(), "cell_key", "left_semi").withColumn("_m", _month_number(F.col("date")))
+    record = _record_before(days, asked, keep)
+    window = _season_before(days, asked, radius)
+    return record.join(window, ["cell_key", "date"], "left").withColumn("window", F.coalesce("window", F.array().cast("array<double>")))
 
 
 def resolve_tier(df: DataFrame, estimate: Column, bucketed: bool) -> DataFrame:
@@ -172,11 +191,13 @@ def resolve_tier(df: DataFrame, estimate: Column, bucketed: bool) -> DataFrame:
     ).withColumn("high_side", F.col("rank_high") <= F.col("rank_low"))
     high = F.col("high_side")
     rank = F.when(high, F.col("rank_high")).otherwise(F.col("rank_low"))
-    tail = rank / F.col("n_win")
+    # without a window there is no share, and no tier
+    days = F.nullif(F.col("n_win"), F.lit(0))
+    tail = rank / days
     # the lists hold eleven days, so eleven hits mean "more than ten"
     all_time = F.when(high, F.col("_ah")).otherwise(F.col("_al"))
     ranked = with_ranks.withColumn("rank", rank).withColumn("single_tail", tail).withColumn("_at", all_time)
-    position = F.col("rank_low") / F.col("n_win")
+    position = F.col("rank_low") / days
     mild = F.when((position >= 0.4) & (position <= 0.6), "mildDead").otherwise("mildOff")
     ladder = F.when((F.col("_at") >= 1) & (F.col("_at") <= ALL_TIME), "alltime")
     if not bucketed:

@@ -210,10 +210,36 @@ def staleness(objects: DataFrame, now: Column, ttl_hours: dict[str, int]) -> Dat
     )
 
 
-def refresh_recent(first_missing: DataFrame, today: Column, expired: Column, frontier_days: int = 9) -> DataFrame:
-    """Heal an old hole at once; extend the tail only when the tier has expired."""
-    tail_only = F.col("first_missing") > F.date_sub(today, frontier_days)
-    return first_missing.withColumn("tail_only", tail_only).withColumn("refresh", ~tail_only | expired)
+#: days before today that the sources have not settled yet
+FRONTIER_DAYS = 9
+
+
+def first_missing(days: DataFrame) -> DataFrame:
+    """``cell_key, archive_end, first_missing``: the first day after the archive's last that ``recent`` lacks.
+
+    ``days`` carry ``cell_key``, ``tier`` and ``date``; cells without an archive have no seam and no row.
+    """
+    ends = days.where("tier = 'archive'").groupBy("cell_key").agg(F.max("date").alias("archive_end"))
+    after = days.where("tier = 'recent'").select(*DAY).join(ends, "cell_key").where("date > archive_end")
+    present = after.select("cell_key", "archive_end", "date").unionByName(ends.withColumn("date", F.col("archive_end"))).distinct()
+    follower = F.lead("date").over(Window.partitionBy("cell_key").orderBy("date"))
+    holes = present.withColumn("_next", follower).where(F.col("_next").isNull() | (F.col("_next") > F.date_add("date", 1)))
+    return holes.groupBy("cell_key", "archive_end").agg(F.min(F.date_add("date", 1)).alias("first_missing"))
+
+
+def heal_rule(days: DataFrame, updated: DataFrame, now: Column, ttl_hours: int = 24, frontier_days: int = FRONTIER_DAYS) -> DataFrame:
+    """Whether to refresh a cell's recent tier: an old hole at once, the unsettled tail only when its age allows.
+
+    ``updated`` has ``cell_key`` and ``updated_at`` of the recent tier. ``due`` is when the refresh falls due if nothing
+    arrives: at the end of the tier's life, once the first missing day has begun, or when that day has become a hole.
+    """
+    found = first_missing(days).join(updated.select("cell_key", "updated_at"), "cell_key")
+    begins = F.col("first_missing").cast("timestamp")
+    heal = F.date_add("first_missing", frontier_days).cast("timestamp")
+    extend = F.greatest(F.col("updated_at").cast("timestamp") + F.make_dt_interval(hours=F.lit(ttl_hours)), begins)
+    tail_only = F.col("first_missing") > F.date_sub(F.to_date(now), frontier_days)
+    due = F.least(heal, extend)
+    return found.select("cell_key", "first_missing", tail_only.alias("tail_only"), due.alias("due"), F.when(heal <= extend, "heal").otherwise("extend").alias("reason"), (due <= now.cast("timestamp")).alias("refresh"))
 
 
 def degenerate(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -360,7 +360,7 @@ def significance_tier(db):
 
 # ---- tiers and claims ----------------------------------------------------------------
 
-POOL_SQL = """t AS MATERIALIZED (SELECT * FROM banded WHERE date >= DATE '2001-05-01'),
+POOL_SQL = """t AS MATERIALIZED (SELECT * FROM banded),
    h AS MATERIALIZED (SELECT cell_key, date, truth AS v FROM banded),
    b AS (SELECT t.cell_key, t.date, list_sort(list(h.v)) AS a FROM t JOIN h ON h.cell_key = t.cell_key AND h.date < t.date GROUP BY 1, 2),
    w AS (SELECT t.cell_key, t.date, list_sort(list(h.v)) AS s FROM t JOIN h ON h.cell_key = t.cell_key AND h.date < t.date
@@ -382,12 +382,9 @@ def side_cut(lst, n, share):
     return f"(CASE WHEN high THEN {_cut(lst, n, share, True)} ELSE {_cut(lst, n, share, False)} END)"
 
 
-def eval_days(db):
-    return db.banded.where(F.col("date") >= F.lit("2001-05-01").cast("date"))
-
-
 def eval_pools(db):
-    return eval_days(db).join(pools.history_pools(db.banded, eval_days(db), "truth"), ["cell_key", "date"])
+    """Every day of the banded pairs with what came before it."""
+    return db.banded.join(pools.history_pools(db.banded, db.banded, "truth"), ["cell_key", "date"])
 
 
 @query(

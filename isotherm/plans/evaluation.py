@@ -8,6 +8,7 @@ from isotherm.functions import calendar, derive
 from isotherm.functions.rounding import r6
 from isotherm.operators import calibrate, cells, models, pairs
 from isotherm.operators import evaluate as ev
+from isotherm.operators.order_stats import weighted_quantiles
 from isotherm.plans.climatology import CLAIM_SQL, claims, inverse_sql
 from isotherm.plans.joins import EDGES_SQL, QM_SQL
 from isotherm.plans.registry import query
@@ -588,6 +589,32 @@ def bakeoff(db):
     return out(scores, ["fit", "n"], ["mae", "coverage", "width"])
 
 
+GRAINS = {"cell": "cell_key", "tile": "concat('t', floor(cast(substring(cell_key, 2) AS INT) / 2))", "global": "'all'"}
+FIT_LEVELS = (0.05, 0.5, 0.95)
+
+
+@query(
+    "weighted_bakeoff",
+    """WITH l AS (SELECT *, concat('t', CAST(substr(cell_key, 2) AS INT) // 2) AS tile, CAST(floor((1 + 3.0::DOUBLE * abs(2 * (u - 0.5))) * 1e6 + 0.5) AS BIGINT) AS wt FROM labelled),
+      g AS (SELECT 'cell' AS grain, cell_key AS k, * FROM l UNION ALL SELECT 'tile', tile, * FROM l UNION ALL SELECT 'global', 'all', * FROM l),
+      c AS (SELECT grain, k, bias, sum(wt) OVER (PARTITION BY grain, k ORDER BY bias RANGE UNBOUNDED PRECEDING) AS cum, CAST(sum(wt) OVER (PARTITION BY grain, k) AS DOUBLE) AS tot FROM g WHERE role = 'train'),
+      q AS (SELECT grain, k, round(min(CASE WHEN cum >= ceil(tot * 0.05::DOUBLE) THEN bias END), 6) AS lo, min(CASE WHEN cum >= ceil(tot * 0.5::DOUBLE) THEN bias END) AS mid, round(min(CASE WHEN cum >= ceil(tot * 0.95::DOUBLE) THEN bias END), 6) AS hi FROM c GROUP BY 1, 2)
+      SELECT g.grain, count(*) AS n, R6(avg(abs(bias - mid))) AS mae, R6(avg(CAST(round(bias, 6) BETWEEN lo AND hi AS INT))) AS coverage, R6(avg(hi - lo)) AS width FROM g JOIN q ON q.grain = g.grain AND q.k = g.k WHERE role = 'test' GROUP BY 1""",
+)
+def weighted_bakeoff(db):
+    """Fits by cumulative tail weight at the cell and at the fallbacks above it, where no group is bounded."""
+    grains = F.explode(F.array(*[F.struct(F.lit(name).alias("grain"), F.expr(key).cast("string").alias("k")) for name, key in GRAINS.items()])).alias("_g")
+    rows = db.roles.select("role", "bias", "u", grains).select("role", "bias", "u", "_g.grain", "_g.k")
+    fits = weighted_quantiles(rows.where("role = 'train'"), ["grain", "k"], "bias", pairs.tail_weight(F.col("u"), 3.0), FIT_LEVELS)
+    fits = fits.select("grain", "k", F.round(F.col("q")[0], 6).alias("lo"), F.col("q")[1].alias("mid"), F.round(F.col("q")[2], 6).alias("hi"))
+    tested = rows.where("role = 'test'").join(fits, ["grain", "k"])
+    inside = F.round("bias", 6).between(F.col("lo"), F.col("hi"))
+    scores = tested.groupBy("grain").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("bias") - F.col("mid"))).alias("mae"), F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width")
+    )
+    return out(scores, ["grain", "n"], ["mae", "coverage", "width"])
+
+
 # ---- band evaluation ---------------------------------------------------------------------
 
 
@@ -622,6 +649,20 @@ def rung_regimes(db):
     return rungs.groupBy("part").agg(F.max("n").alias("n"), r6(F.max(F.abs("err_pp"))).alias("worst_pp"))
 
 
+MAGNITUDE, WIDTH = "mid", "q90 - q10"
+_NTILES = " UNION ALL ".join(f"SELECT '{name}' AS grouping, ntile(5) OVER (ORDER BY {value}, cell_key, date) AS part, b.* FROM banded b" for name, value in (("magnitude", MAGNITUDE), ("width", WIDTH)))
+
+
+@query(
+    "rung_quintiles",
+    f"""WITH s AS MATERIALIZED ({_NTILES}), r AS ({_rung_rows('s', ['grouping', 'part'], 'HAVING count(*) >= 500')})
+      SELECT grouping, CAST(part AS INT) AS part, rung, n, R6(cov) AS cov, R6(flat) AS flat, R6((cov - rung / 100.0::DOUBLE) * 100) AS err_pp FROM r""",
+)
+def rung_quintiles(db):
+    rows = ev.quintile_rungs(db.banded, "truth", {"magnitude": F.col("mid"), "width": F.col("q90") - F.col("q10")}, ["cell_key", "date"], min_n=500)
+    return out(rows, ["grouping", "part", "rung", "n"], ["cov", "flat", "err_pp"])
+
+
 def _tail_union(source, keys):
     group = ", ".join(keys)
     return " UNION ALL ".join(
@@ -705,7 +746,8 @@ def _reliability(source, claim):
        FROM (SELECT {_BIN.format(c=claim)} AS bin, count(*) AS n, avg({claim}) AS c, avg(hit) AS r FROM {source} GROUP BY 1))"""
 
 
-_REL = ", ".join(f"R6({c}) AS {c}" for c in ("mean_claim", "realized", "lo", "hi", "gap_pp"))
+# nine decimals first: a tie at the sixth must not hang on the order of a sum
+_REL = ", ".join(f"R6(round({c}, 9)) AS {c}" for c in ("mean_claim", "realized", "lo", "hi", "gap_pp"))
 
 
 @query(
@@ -718,7 +760,9 @@ def reliability(db):
     both = made.select(F.lit("claimed").alias("shown"), F.col("claimed_p").alias("c"), "hit").unionByName(
         made.select(F.lit("displayed").alias("shown"), (F.col("displayed") / 100).alias("c"), "hit")
     )
-    return out(ev.reliability(both, ["shown"], "c"), ["shown", "bin", "n", "diag_in"], ["mean_claim", "realized", "lo", "hi", "gap_pp"])
+    values = ["mean_claim", "realized", "lo", "hi", "gap_pp"]
+    rows = ev.reliability(both, ["shown"], "c")
+    return out(rows.withColumns({v: F.round(v, 9) for v in values}), ["shown", "bin", "n", "diag_in"], values)
 
 
 @query("ece", f"WITH {CLAIM_SQL} SELECT R6(100 * sum(n * abs(realized - mean_claim)) / sum(n)) AS ece_pp FROM {_reliability('claims', 'claimed_p')}")
@@ -803,8 +847,7 @@ def shoulder_check(db):
 @query("predictive_density")
 def predictive_density(db):
     """Peak and mass of every forecast day's density curve."""
-    days = db.banded.where(F.col("date") >= F.lit("2001-05-01").cast("date"))
-    curves = ev.predictive_density(days, BAND_COLUMNS, axis_span=30.0)
+    curves = ev.predictive_density(db.banded, BAND_COLUMNS, axis_span=30.0)
     step = (F.element_at("curve", -1)["t"] - F.col("curve")[0]["t"]) / ev.DENSITY_STEPS
     mass = F.aggregate("curve", F.lit(0.0), lambda s, p: s + p["d"]) * step
     peak = F.array_max(F.transform("curve", lambda p: F.struct(p["d"].alias("d"), p["t"].alias("t"))))

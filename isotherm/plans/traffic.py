@@ -10,6 +10,7 @@ from isotherm.operators import cells, daily, spatial, tiers, traffic
 from isotherm.plans.columns import BARE_SINCE, BOT_SQL, SIGNATURE_SQL
 from isotherm.plans.registry import query
 from isotherm.streaming import jobs
+from isotherm.streaming.store import TierStore
 
 CONTENT = "len(page) - len(replace(page, '/', '')) >= 3"
 SESSION_SQL = f"""(SELECT *, sum(new) OVER (PARTITION BY visitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
@@ -168,23 +169,44 @@ def _finished(db, stream, name):
 
 @query(
     "stream_daily",
-    """WITH i AS (SELECT cell_key, ts + INTERVAL 3 HOUR AS l, t2m, sqrt(u10 * u10 + v10 * v10) AS wind FROM hourly), d AS (SELECT cell_key, CAST(l AS DATE) AS date, (round_even((max(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS tmax_C, (round_even((max(wind)) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS wind_max_ms FROM i GROUP BY 1, 2 HAVING count(*) = 24)
-      SELECT cell_key, date, R6(tmax_C) AS tmax_C, R6(wind_max_ms) AS wind_max_ms FROM d WHERE date < (SELECT CAST(max(l) - INTERVAL 2 DAY AS DATE) FROM i)""",
+    """WITH i AS (SELECT cell_key, ts + INTERVAL 3 HOUR AS l, t2m, sqrt(u10 * u10 + v10 * v10) AS wind, greatest(coalesce(CASE WHEN hour(ts) = 1 THEN tp ELSE tp - lag(tp) OVER (PARTITION BY cell_key, CAST(ts - INTERVAL 1 HOUR AS DATE) ORDER BY ts) END, 0.0::DOUBLE), 0.0::DOUBLE) AS rain FROM hourly), d AS (SELECT cell_key, CAST(l AS DATE) AS date, (round_even((max(t2m) - 273.15) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS tmax_C, (round_even((sum(rain) * 1000) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS precip_mm, (round_even((max(wind)) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS wind_max_ms FROM i GROUP BY 1, 2 HAVING count(*) = 24)
+      SELECT cell_key, date, R6(tmax_C) AS tmax_C, R6(precip_mm) AS precip_mm, R6(wind_max_ms) AS wind_max_ms FROM d WHERE date < (SELECT CAST(max(l) - INTERVAL 2 DAY AS DATE) FROM i)""",
 )
 def stream_daily(db):
     rows = daily.hourly_wind(daily.deaccumulate(db.hourly)).withColumn("offset_h", F.lit(3))
     done = _finished(db, jobs.complete_days(_stream(db, rows, "hours")), "days")
-    return done.select("cell_key", "date", r6(F.col("tmax_C")).alias("tmax_C"), r6(F.col("wind_max_ms")).alias("wind_max_ms"))
+    return done.select("cell_key", "date", r6(F.col("tmax_C")).alias("tmax_C"), r6(F.col("precip_mm")).alias("precip_mm"), r6(F.col("wind_max_ms")).alias("wind_max_ms"))
 
 
 @query(
     "stream_hits",
-    """SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bucket, country, count(*) AS hits FROM hits GROUP BY 1, 2
+    """SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bucket, country, count(*) AS hits, count(DISTINCT visitor) AS people FROM hits GROUP BY 1, 2
        HAVING time_bucket(INTERVAL 10 MINUTE, min(ts)) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM hits)""",
 )
 def stream_hits(db):
     hits = _stream(db, db.hits.select("ts", "visitor", "country"), "hits")
-    return _finished(db, jobs.hit_buckets(hits), "buckets").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "country", "hits")
+    people = F.hll_sketch_estimate("sketch").alias("people")
+    return _finished(db, jobs.hit_buckets(hits), "buckets").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "country", "hits", people)
+
+
+@query(
+    "stream_people",
+    """WITH f AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS b FROM hits), done AS (SELECT * FROM f WHERE b + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM hits)),
+       g AS (SELECT '10 minutes' AS grain, b AS start, country, visitor FROM done UNION ALL SELECT 'hour', date_trunc('hour', b), country, visitor FROM done UNION ALL SELECT 'day', date_trunc('day', b), country, visitor FROM done)
+       SELECT grain, start, country, count(*) AS hits, count(DISTINCT visitor) AS people, true AS within_error FROM g GROUP BY 1, 2, 3""",
+)
+def stream_people(db):
+    """Three grains from the stream's sketches beside the exact batch count; four standard errors bound the gap."""
+    rows = db.hits.select("ts", "visitor", "country")
+    buckets = _finished(db, jobs.hit_buckets(_stream(db, rows, "people")), "people")
+    sketched = jobs.people_rollup(buckets).withColumnRenamed("people", "estimate")
+    until = rows.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("_until"))
+    bucketed = rows.withColumn("_w", F.window(F.col("ts").cast("timestamp"), "10 minutes"))
+    closed = bucketed.join(F.broadcast(until), F.col("_w.end") <= F.col("_until")).select(*rows.columns)
+    exact = jobs.people_exact(closed).select("grain", "start", "country", F.col("hits").alias("exact_hits"), "people")
+    within = (F.abs(F.col("estimate") - F.col("people")) <= 4 * jobs.SKETCH_ERROR * F.col("people")) & (F.col("hits") == F.col("exact_hits"))
+    both = sketched.join(exact, ["grain", "start", "country"], "full_outer")
+    return both.select("grain", F.col("start").cast("timestamp_ntz").alias("start"), "country", "hits", "people", F.coalesce(within, F.lit(False)).alias("within_error"))
 
 
 @query(
@@ -195,7 +217,9 @@ def stream_hits(db):
 def stream_sessions(db):
     content = db.hits.where(rules.content_page(F.col("page"))).select("ts", "visitor", "page")
     done = _finished(db, jobs.visitor_sessions(_stream(db, content, "content")), "sessions")
-    return done.select("visitor", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "hits", "pages")
+    pages = _finished(db, jobs.slot_pages(_stream(db, content, "paged")), "pages")
+    counted = jobs.count_pages(done, pages)
+    return counted.select("visitor", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "hits", "pages")
 
 
 @query("dedupe_events", "SELECT DISTINCT event_id FROM hits")
@@ -207,7 +231,7 @@ def dedupe_events(db):
 
 def _tier_batches(db, method):
     """Two micro-batches into a tier store: first archive and forecast, then recent and a new forecast."""
-    store = jobs.TierStore(db.spark, db.staging("store"))
+    store = TierStore(db.spark, db.staging("store"))
     rows = db.tier_rows.withColumn("seq", F.lit(0))
     later = rows.where("tier <> 'archive'").withColumn("tmax_C", F.col("tmax_C") + 2)
     for number, batch in enumerate((rows.where("tier <> 'recent'"), later.where("tier = 'recent' OR date >= DATE'2001-06-01'"))):
@@ -219,7 +243,7 @@ def _tier_batches(db, method):
 
 @query(
     "stream_tier_upsert",
-    """SELECT cell_key, date, tier, tmax_C FROM tier_rows WHERE tier = 'archive' UNION ALL SELECT cell_key, date, tier, tmax_C + 2 FROM tier_rows WHERE tier = 'recent' OR (tier = 'forecast' AND date >= DATE '2001-06-01')""",
+    """SELECT cell_key, date, tier, tmax_C FROM tier_rows WHERE tier = 'archive' UNION ALL SELECT cell_key, date, tier, tmax_C + 2 FROM tier_rows r WHERE (tier = 'recent' AND NOT EXISTS (SELECT 1 FROM tier_rows a WHERE a.tier = 'archive' AND a.cell_key = r.cell_key AND a.date = r.date)) OR (tier = 'forecast' AND date >= DATE '2001-06-01')""",
 )
 def stream_tier_upsert(db):
     return _tier_batches(db, "refresh").select("cell_key", "date", "tier", "tmax_C")

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from isotherm.operators import tiers
 from isotherm.operators.daily import HOURS_PER_DAY, to_daily_units
-from isotherm.sources.tiers import write_tiers
+from isotherm.operators.tiers import FRONTIER_DAYS
+
+#: 2^12 registers: one standard error is 1.6 %, and a few hundred visitors are counted exactly
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+GRAINS = ("10 minutes", "hour", "day")
 
 
 def complete_days(readings: DataFrame, late: str = "2 days") -> DataFrame:
     """Local days from an hourly stream, emitted once the watermark has passed them.
 
     Readings carry ``cell_key``, ``ts``, ``offset_h``, ``t2m``, ``tp_incr`` and ``wind``.
-    Only days with all 24 hours come out; hours later than the watermark are for the batch
-    merge. A repeated hour counts once.
+    Only days with all 24 hours come out; hours later than the watermark are lost here (``days.DayJob`` keeps them).
+    A repeated hour counts once.
     """
     local = (
         readings.withColumn("local_ts", F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.col("offset_h")))
@@ -33,87 +38,86 @@ def complete_days(readings: DataFrame, late: str = "2 days") -> DataFrame:
     return daily.where(F.col("hours") == HOURS_PER_DAY).select("cell_key", F.to_date("_w.start").alias("date"), *to_daily_units())
 
 
-def late_hours(readings: DataFrame, newest: Column, late: str = "2 days") -> DataFrame:
-    """Hours older than the watermark allows; kept aside for ``merge_late``."""
-    return readings.where(F.col("ts") < newest - F.expr(f"INTERVAL {late}"))
-
-
 def hit_buckets(hits: DataFrame, bucket: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Hits and approximate people per bucket and country."""
+    """Hits per bucket and country, and a sketch of their visitors that can be merged over buckets."""
     return (
         hits.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(F.window("ts", bucket).alias("_w"), "country")
-        .agg(F.count(F.lit(1)).alias("hits"), F.approx_count_distinct("visitor").alias("people"))
-        .select(F.col("_w.start").alias("bucket"), "country", "hits", "people")
+        .agg(F.count(F.lit(1)).alias("hits"), F.hll_sketch_agg("visitor", SKETCH_BITS).alias("sketch"))
+        .select(F.col("_w.start").alias("bucket"), "country", "hits", "sketch")
+    )
+
+
+def _grain_start(bucket: Column, grain: str) -> Column:
+    return bucket if grain == GRAINS[0] else F.date_trunc(grain, bucket)
+
+
+def people_rollup(buckets: DataFrame) -> DataFrame:
+    """Hits and people per grain, start and country, from the finest buckets alone: a visitor of two buckets is one person.
+
+    The error of ``people`` is that of the merged sketch, ``SKETCH_ERROR`` at any grain.
+    """
+    grains = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), _grain_start(F.col("bucket"), g).alias("start")) for g in GRAINS])).alias("_g")
+    return (
+        buckets.select(grains, "country", "hits", "sketch")
+        .groupBy("_g.grain", "_g.start", "country")
+        .agg(F.sum("hits").alias("hits"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("people"))
+    )
+
+
+def people_exact(hits: DataFrame) -> DataFrame:
+    """The batch twin of ``people_rollup``: distinct visitors, counted."""
+    grains = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), _grain_start(F.col("_w.start"), g).alias("start")) for g in GRAINS])).alias("_g")
+    return (
+        hits.withColumn("_w", F.window(F.col("ts").cast("timestamp"), GRAINS[0]))
+        .select(grains, "country", "visitor")
+        .groupBy("_g.grain", "_g.start", "country", "visitor")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("grain", "start", "country")
+        .agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("people"))
     )
 
 
 def visitor_sessions(hits: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Finished browsing sessions: start, end of the last hit's gap, hits and pages."""
+    """Finished browsing sessions: first and last hit, and hits. The state is a few numbers per open session."""
     return (
         hits.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(F.session_window("ts", gap).alias("_s"), "visitor")
-        .agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("hits"), F.size(F.collect_set("page")).alias("pages"))
-        .select("visitor", "start", "end", "hits", "pages")
+        .agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("hits"))
+        .select("visitor", "start", "end", "hits")
     )
 
 
-def unique_events(events: DataFrame, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """Each event once, however often it is delivered within the watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+def slot_pages(hits: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Each page of a visitor once per slot of one gap's length.
 
+    Hits of one slot are less than a gap apart, so a slot belongs to one session. The state is a row per visitor, slot and page, dealt out by
+    all three: a crawler's pages lie in many rows and tasks, and go when the slot does.
+    """
+    return (
+        hits.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
+        .groupBy(F.window("ts", gap).alias("_w"), "visitor", "page")
+        .agg(F.count(F.lit(1)).alias("hits"))
+        .select("visitor", F.col("_w.start").alias("slot"), "page", "hits")
+    )
 
-class TierStore:
-    """Tier snapshots on shared storage, one folder per micro-batch.
 
-    A batch writes a whole new snapshot and only then is it the newest one, so a failed or
-    repeated batch changes nothing: the same batch id writes the same folder again.
-    """
+def count_pages(sessions: DataFrame, pages: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Finished sessions with their distinct pages, from the slots they touch; equi-joins and two aggregations."""
+    first = sessions.select("visitor", "start", F.window("start", gap).start.alias("_a"), "end")
+    last = first.select("visitor", "start", "_a", F.window("end", gap).start.alias("_b"))
+    touched = last.select("visitor", "start", F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {gap}"))).alias("slot"))
+    distinct = touched.join(pages.select("visitor", "slot", "page"), ["visitor", "slot"]).groupBy("visitor", "start", "page").agg(F.lit(1).alias("_one"))
+    counted = distinct.groupBy("visitor", "start").agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    return sessions.join(counted, ["visitor", "start"])
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _newest(self, before: int | None) -> int | None:
-        try:
-            done = self.spark.read.schema("batch LONG").parquet(f"{self.path}/pointer")
-            return done.where(F.lit(before is None) | (F.col("batch") < F.lit(before or 0))).agg(F.max("batch")).first()[0]
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None  # nothing written yet
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest finished snapshot, or the newest before a batch."""
-        newest = self._newest(before)
-        return None if newest is None else self.spark.read.parquet(f"{self.path}/batch={newest}")
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        write_tiers(df, f"{self.path}/batch={batch_id}")
-        # the pointer moves only after the snapshot is complete
-        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).write.mode("append").parquet(f"{self.path}/pointer")
-
-    def refresh(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``: recent days by date, forecasts whole, archive over both.
-
-        Rows carry ``tier``; ``seq`` orders rows of the same cell and day within a batch.
-        """
-        new = tiers.dedupe_last(batch, ["cell_key", "date", "tier"], "seq").drop("seq")
-        old = self.read(before=batch_id)
-        if old is None:
-            self.write(new, batch_id)
-            return
-        refreshed = new.where("tier = 'forecast'").select("cell_key").distinct()
-        kept = old.where("tier <> 'forecast'").unionByName(old.where("tier = 'forecast'").join(refreshed, "cell_key", "left_anti"))
-        self.write(tiers.upsert_by_date(kept, new, ["cell_key", "date", "tier"]), batch_id)
 
-    def merge_late(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``: new values win column by column; no day is ever lost."""
-        new = tiers.dedupe_last(batch, ["cell_key", "date", "tier"], "seq").drop("seq")
-        old = self.read(before=batch_id)
-        merged = new if old is None else tiers.merge_columns(old, new, ["cell_key", "date", "tier"])
-        self.write(merged, batch_id)
+def unique_events(events: DataFrame, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
+    """Each event once, however often it is delivered within the watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def pending_work(wanted: DataFrame, ledger: DataFrame, signature: str) -> DataFrame:
@@ -152,6 +156,82 @@ def expired_tiers(updates: DataFrame, ttl_hours: dict[str, int]) -> DataFrame:
     )
 
 
+DAY_MS = 86_400_000
+
+
+class Seam(NamedTuple):
+    """What a cell's state holds of its recent tier: the archive's last day, the newest update, and the runs of present days after
+    the archive as two lists of days since 1970. The days missing lie between the runs, so a state is as long as it has holes."""
+
+    archive_end: int
+    updated_ms: int
+    starts: list[int]
+    ends: list[int]
+    asked: str
+
+    def with_days(self, archive: list[int], recent: list[int], updated_ms: int) -> Seam:
+        end = max([self.archive_end, *archive])
+        runs: list[list[int]] = []
+        for first, last in sorted([*zip(self.starts, self.ends), *((d, d) for d in recent)]):
+            if last <= end:
+                continue
+            if runs and first <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], last)
+            else:
+                runs.append([max(first, end + 1), last])
+        return Seam(end, max(self.updated_ms, updated_ms), [r[0] for r in runs], [r[1] for r in runs], "")
+
+    def first_missing(self) -> int:
+        after = self.archive_end + 1
+        return self.ends[0] + 1 if self.starts and self.starts[0] == after else after
+
+    def next_ask(self, ttl_ms: int, frontier_days: int) -> tuple[int, str] | None:
+        """When to ask for a refresh, and why; a tail that was asked for in vain is asked for again when it is a hole."""
+        missing = self.first_missing()
+        heal, extend = (missing + frontier_days) * DAY_MS, max(self.updated_ms + ttl_ms, missing * DAY_MS)
+        if self.asked == "heal":
+            return None
+        return (heal, "heal") if heal <= extend or self.asked == "extend" else (extend, "extend")
+
+
+def recent_decisions(updates: DataFrame, ttl_hours: int = 24, frontier_days: int = FRONTIER_DAYS) -> DataFrame:
+    """The live twin of ``tiers.heal_rule``: a row whenever a cell's recent tier falls due, by event-time timers.
+
+    ``updates`` carry ``cell_key``, ``tier`` (archive or recent), ``date``, ``updated_ms`` and a watermarked ``ts``. An old
+    hole is asked for at once, whatever the age of the tier; the tail when the age allows; nothing without an archive.
+    """
+    ttl_ms, none = ttl_hours * 3_600_000, -(1 << 30)
+    epoch = pd.Timestamp("1970-01-01").date()
+
+    def watch(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seam = Seam(*state.get) if state.exists else Seam(none, 0, [], [], "")
+        if not state.hasTimedOut:
+            archive, recent, newest = [], [], 0
+            for frame in frames:
+                days = [(d - epoch).days for d in frame["date"]]
+                archive += [d for d, t in zip(days, frame["tier"]) if t == "archive"]
+                recent += [d for d, t in zip(days, frame["tier"]) if t == "recent"]
+                ours = frame.loc[frame["tier"] == "recent", "updated_ms"]
+                newest = max(newest, int(ours.max()) if len(ours) else 0)
+            seam = seam.with_days(archive, recent, newest)
+        out = []
+        if seam.archive_end > none and seam.updated_ms:
+            now = state.getCurrentWatermarkMs()
+            while (ask := seam.next_ask(ttl_ms, frontier_days)) is not None and ask[0] <= now:
+                out.append((key[0], epoch + dt.timedelta(days=seam.first_missing()), ask[1], ask[0]))
+                seam = seam._replace(asked=ask[1])
+            state.update(tuple(seam))
+            if ask is not None:
+                state.setTimeoutTimestamp(ask[0])
+        else:
+            state.update(tuple(seam))
+        yield pd.DataFrame(out, columns=["cell_key", "first_missing", "reason", "due_ms"])
+
+    return updates.groupBy("cell_key").applyInPandasWithState(
+        watch, "cell_key STRING, first_missing DATE, reason STRING, due_ms LONG", "archive_end INT, updated_ms LONG, starts ARRAY<INT>, ends ARRAY<INT>, asked STRING", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available into Parquet and stop."""
     query = (
