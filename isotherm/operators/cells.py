@@ -106,6 +106,19 @@ def plan_counts(plan: DataFrame) -> DataFrame:
     )
 
 
+def snap_histogram(movers: DataFrame) -> DataFrame:
+    """Moved cells by whole kilometres to the land point they snap to."""
+    return movers.groupBy(F.floor("snap_km").cast("int").alias("km")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def existing_destinations(movers: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points that a moved cell snaps onto although a cell sits there that is not moved away itself."""
+    staying = cells.select(F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon")).join(
+        movers.select(F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon")), ["new_lat", "new_lon"], "left_anti"
+    )
+    return movers.groupBy("new_lat", "new_lon").agg(F.count(F.lit(1)).alias("movers")).join(staying, ["new_lat", "new_lon"], "left_semi")
+
+
 def unique_names(cells: DataFrame, label: str = "name", region: str | None = None) -> DataFrame:
     """A distinct name for every cell.
 
@@ -179,14 +192,14 @@ def repair_labels(cells: DataFrame, places: DataFrame, countries: DataFrame, km:
     return named.select("cell_id", "name", dropped.alias("dropped"), retailed.alias("retailed"))
 
 
-def tail_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Country tails whose count differs between two cell lists; none means the repair is safe."""
+def tail_counts(before: DataFrame, after: DataFrame, changed_only: bool = True) -> DataFrame:
+    """Country tails whose count differs between two cell lists; none means the repair is safe. Without ``changed_only`` all tails."""
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(country_tail(F.col("name")).alias("tail")).agg(F.count(F.lit(1)).alias(name))
 
     both = counted(before, "before").join(counted(after, "after"), "tail", "full_outer").fillna(0, ["before", "after"])
-    return both.where(F.col("before") != F.col("after"))
+    return both.where(F.col("before") != F.col("after")) if changed_only else both
 
 
 def stratified_sample(cells: DataFrame, k: int, key: str = "cell_key") -> DataFrame:

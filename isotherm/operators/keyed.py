@@ -6,13 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the first in the given order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
 def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -26,11 +19,6 @@ def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with their count."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def flag(cond: Column) -> Column:
     """A condition as 1.0 / 0.0, null where it is null."""
     return cond.cast("double")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isotherm.functions import traffic
+from isotherm.operators.order_stats import quantiles
+from isotherm.operators.prefix import NUMBER, scan
 
 # The gap that ends a session and the pages that mark a person.
 GAP_SECONDS = 1800
@@ -110,9 +112,49 @@ def country_mix(hits: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def sort_table(hits: DataFrame, column: str, descending: bool, then: Sequence[str] = ()) -> DataFrame:
-    """Ordered by any column, a missing value counting as empty text."""
+    """Ordered by any column, a missing value counting as empty text; ``position`` (from 1) is a row's place in the order."""
     key = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return hits.orderBy(key.desc() if descending else key.asc(), *then)
+    return scan(hits, [key.desc() if descending else key.asc(), *[F.col(c) for c in then]]).withColumnRenamed(NUMBER, "position").drop("rows")
+
+
+def people_by(hits: DataFrame, column: str) -> DataFrame:
+    """Hits and distinct people per value; a value with most of the hits is counted by visitor first, in many tasks."""
+    by_visitor = hits.groupBy(column, "visitor").agg(F.count(F.lit(1)).alias("_n"))
+    return by_visitor.groupBy(column).agg(F.sum("_n").alias("hits"), F.count("visitor").alias("people"))
+
+
+def metric_tops(hits: DataFrame) -> DataFrame:
+    """How often each metric is looked at by a link to a card, with its share of all such views."""
+    cards = hits.select(F.regexp_extract("page", traffic.CARD_PAGE, 4).alias("metric")).where("metric <> ''")
+    return top_shares(cards, "metric", len(traffic.METRIC_WORDS))
+
+
+def link_views(hits: DataFrame) -> DataFrame:
+    """Views per location: of the forecast file that a page fetches for it, and of its cards."""
+
+    def located(kind: str, pattern: str) -> DataFrame:
+        lat, lon = (F.regexp_extract("page", pattern, k) for k in (1, 2))
+        return hits.select(F.lit(kind).alias("kind"), lat.alias("_a"), lon.alias("_o"), "country").where("_a <> ''")
+
+    both = located("forecast", traffic.TIER_FILE).unionByName(located("card", traffic.CARD_PAGE))
+    counted = both.groupBy("kind", F.col("_a").cast("double").alias("lat"), F.col("_o").cast("double").alias("lon"), "country").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("kind", "lat", "lon").agg(F.sum("_n").alias("views"), F.count(F.lit(1)).alias("countries"))
+
+
+def search_distances(hits: DataFrame, probs: Sequence[float] = (0.5, 0.9, 0.99, 1.0)) -> DataFrame:
+    """How far the place served lies from the place asked for, over all searches that were served: exact quantiles."""
+    served = hits.where("kind = 'search' AND dist_km IS NOT NULL")
+    return quantiles(served, [], "dist_km", probs).select("n", *[F.col("q")[k].alias(f"p{round(100 * p)}") for k, p in enumerate(probs)])
+
+
+def worst_searches(hits: DataFrame, k: int) -> DataFrame:
+    """The queries whose worst answer lay farthest away."""
+    return search_gaps(hits, 0.0).where("worst_km IS NOT NULL").orderBy(F.col("worst_km").desc(), "query").limit(k).select("query", "worst_km", "searches")
+
+
+def never_matched(hits: DataFrame) -> DataFrame:
+    """Queries that no search ever found a place for."""
+    return search_gaps(hits, 0.0).where("unmatched = searches").select("query", "searches")
 
 
 def search_gaps(hits: DataFrame, far_km: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "columns", "spatial", "joins", "climatology", "evaluation", "traffic", "streams")
+MODULES = ("sources", "columns", "spatial", "joins", "climatology", "evaluation", "traffic", "streams", "details")
 
 
 def load() -> None:

@@ -71,7 +71,7 @@ def link_mix(db):
     return traffic.country_mix(db.hits, "page", 5)
 
 
-@query("sort_table", "SELECT event_id, query, ts FROM hits")
+@query("sort_table", "SELECT event_id, query, ts, row_number() OVER (ORDER BY coalesce(query, '') DESC, event_id) AS position FROM hits")
 def sort_table(db):
     return traffic.sort_table(db.hits.select("event_id", "query", "ts"), "query", True, ["event_id"])
 
