@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -99,6 +100,13 @@ def discard(*frames: DataFrame) -> None:
             delete_staged(frame.sparkSession, [path])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go. Spark deletes them when the driver's JVM has collected their plans, which a
+    driver with room to spare may put off for half an hour; call it between the stages of a job that shuffles much."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """The paths that ``materialize`` writes inside the block, so that they can be deleted when its results are read."""
