@@ -115,4 +115,4 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _RECORDERS.remove(paths)
+        _RECORDERS[:] = [r for r in _RECORDERS if r is not paths]
