@@ -159,13 +159,6 @@ def share_partition(pool: DataFrame, pivots: DataFrame, value: str) -> DataFrame
     ).select("cell_key", "slice", "pct")
 
 
-def pivot_shares(pool: DataFrame, pivots: DataFrame, value: str) -> DataFrame:
-    """Percent of a pool below a pivot and at or above it."""
-    joined = pool.where(F.col(value).isNotNull()).join(pivots, "cell_key")
-    lower = F.avg((F.col(value) < F.col("pivot")).cast("double")) * 100
-    return joined.groupBy("cell_key").agg(lower.alias("lower")).withColumn("higher", 100 - F.col("lower"))
-
-
 def circular_smooth(df: DataFrame, keys: Sequence[str], columns: Sequence[str], radius: int) -> DataFrame:
     """Mean over the days within ``radius`` on the 365-day circle, for the days that exist.
 

@@ -143,14 +143,6 @@ def complete_years(coverage: DataFrame, latest: Column, slack: int = 5) -> DataF
     return coverage.where(F.col("rows") >= expected - slack).select("tile_id", "year")
 
 
-def missing_years(coverage: DataFrame, tiles: DataFrame, first_year: int, last_year: int, latest: Column) -> DataFrame:
-    """Tile-years of the requested range that are not complete."""
-    wanted = tiles.select("tile_id").distinct().withColumn(
-        "year", F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
-    )
-    return wanted.join(complete_years(coverage, latest), ["tile_id", "year"], "left_anti")
-
-
 def year_spans(years: DataFrame, longest: int) -> DataFrame:
     """Contiguous years joined to spans of at most ``longest`` years."""
     ordered = Window.partitionBy("tile_id").orderBy("year")

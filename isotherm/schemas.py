@@ -16,17 +16,6 @@ CELL_DAY = T.StructType(
     ]
 )
 
-HOURLY = T.StructType(
-    [
-        T.StructField("cell_key", T.StringType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("t2m", T.DoubleType()),
-        T.StructField("tp", T.DoubleType()),
-        T.StructField("u10", T.DoubleType()),
-        T.StructField("v10", T.DoubleType()),
-    ]
-)
-
 CELLS = T.StructType(
     [
         T.StructField("cell_id", T.StringType()),
@@ -40,24 +29,6 @@ CELLS = T.StructType(
     ]
 )
 
-HITS = T.StructType(
-    [
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("visitor", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("page", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("city", T.StringType()),
-        T.StructField("referer", T.StringType()),
-        T.StructField("asn_org", T.StringType()),
-        T.StructField("ua", T.StringType()),
-        T.StructField("query", T.StringType()),
-        T.StructField("matched", T.StringType()),
-        T.StructField("served", T.StringType()),
-        T.StructField("dist_km", T.DoubleType()),
-    ]
-)
-
 
 class Metric(NamedTuple):
     """One daily metric: its short name, its column and whether it has a zero floor."""
@@ -73,7 +44,6 @@ METRICS = (
     Metric("precip", "precip_mm", True),
     Metric("wind", "wind_max_ms", True),
 )
-METRIC_BY_NAME = {m.name: m for m in METRICS}
 VALUE_COLUMNS = [m.column for m in METRICS]
 
 # The quantile levels of a band and the column names that carry them.
