@@ -1,35 +1,40 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its five-word shingles (a shorter line is one shingle). Two lines match at a Jaccard similarity of
-0.8 or more; a line that matches an earlier one, by document id, row and line number, is removed. Lines without words stay.
-
-Shingles are ordered by rarity. If two sets match, the rarest ``n - ceil(0.8 n) + 1`` shingles of each share one (prefix
-filter); their sizes are within 0.8 of each other (length filter); and the shingles behind the shared one suffice for
-the overlap (positional filter). Candidates are verified on the whole sets.
-
-Nothing here is quadratic in a group of copies. Equal sets are one candidate; a set is first compared with the earliest
-line of each of its prefix shingles, which settles nearly all members of a group; only sets that are still open meet all
-earlier lines of their shingles. The rarity of a shingle is that of one of 4,096 hash buckets, counted over all lines: the
+A line is the set of its words, lower-cased. Two lines match at a Jaccard similarity of 0.8 or more; a line that matches an
+earlier one, by document id, row and line number, is removed, whether or not the earlier one goes too. Lines without words stay.
+
+Words are ordered by rarity. If two sets match, the rarest ``n - ceil(0.8 n) + 1`` words of each share one (prefix
+filter); their sizes are within 0.8 of each other (length filter); and the words behind the shared one suffice for
+the overlap (positional filter). Beside them goes a parity filter: each set carries 64 bits, of which each word turns one over; two
+sets that differ in d words differ in at most d bits, and matching ones may differ in a ninth of their sizes. What passes is
+verified on the whole sets.
+
+Nothing here is quadratic in a group of copies. Equal sets are one candidate, under a number of its own; a set is first compared
+with the earliest line of each of its prefix words, which settles nearly all members of a group; only sets that are still open meet
+the other lines of their words. The rarity of a word is that of one of 65,536 hash buckets, counted over all lines: the
 table has a fixed size, and any order that all lines share keeps the filters exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.llm.common import ROW, numbered
-from isotherm.session import materialize
+from isotherm.session import discard, free_shuffles, materialize
 
-SHINGLE = 5
 #: J >= 4/5 for sets of n and m with overlap o: 9 o >= 4 (n + m)
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 WHITE = " \t\x0b\f\r\n"
 #: bits of the filter that picks the documents of candidate lines; 512 KB whatever the corpus
 FILTER_BITS = 1 << 22
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table: each row as one struct ``doc`` (no column of it can clash with those of the job), and its number ``row``."""
+    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -45,36 +50,18 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def shingle_at(words: Column, i: Column) -> Column:
-    """64-bit hash of the shingle that starts at word ``i`` (from 0); words behind the end of a short line count as nothing."""
-    return F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)])
-
-
-def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``tokens``: 64-bit hashes of the distinct shingles of ``line``. A shorter line has one shingle.
-
-    The words are a column of their own, so they are split once for a line and not once for a shingle.
-    """
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
-    hashed = F.array_distinct(F.transform(starts, lambda i: shingle_at(F.col("words"), i)))
-    return lines.withColumn("words", words_of(F.col("line"))).withColumn("tokens", hashed).drop("words")
-
-
-def by_line(docs: DataFrame) -> DataFrame:
-    """``doc, row, line_no, line, line_hash`` of every line with words; a null id sorts first."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    lines = docs.select(doc.alias("doc"), F.col(ROW).alias("row"), F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+def by_line(rows: DataFrame) -> DataFrame:
+    """``id, row, line_no, line, line_hash`` of every line with words of ``numbered`` rows; a null id sorts first."""
+    own = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    lines = rows.select(own.alias("id"), "row", F.posexplode(split_lines(F.coalesce("doc.text", F.lit("")))).alias("line_no", "line"))
     return lines.where(F.btrim("line", F.lit(WHITE)) != "").select("*", F.xxhash64("line").alias("line_hash"))
 
 
 def rarity(lines: DataFrame) -> Column:
-    """The rank of each bucket by the number of shingles in it, as one array constant, -2048 for the rarest."""
-    # one row for a shingle, so that hashing and counting are compiled as one loop
-    words = lines.select(words_of(F.col("line")).alias("words"))
-    each = words.select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("i"))
-    buckets = each.select(shingle_at(F.col("words"), F.col("i")).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
-    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["bucket"]: r["n"] for r in counted.collect()}  # 4,096 numbers
+    """The rank of each bucket by the number of words in it, as one array constant, the rarest first and negative."""
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
+    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["bucket"]: r["n"] for r in counted.collect()}  # 65,536 numbers
     order = sorted(range(BUCKETS), key=lambda b: (sizes.get(b, 0), b))
     rank = [0] * BUCKETS
     for place, bucket in enumerate(order):
@@ -82,126 +69,149 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
 
 
-def ordered(tokens: Column, rank: Column) -> Column:
-    """Shingles as longs that sort by rarity. The bucket's rank takes the place of the bucket's bits, so none are lost."""
-    moved = F.transform(tokens, lambda h: F.shiftleft(F.element_at(rank, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS)))
-    return F.sort_array(moved)
+def keys_of(line: Column, rank: Column) -> Column:
+    """The words of a line as distinct longs that sort by rarity. The bucket's rank takes the place of the bucket's bits, so none are lost."""
+    hashed = F.transform(words_of(line), lambda w: F.xxhash64(w))
+    moved = F.transform(hashed, lambda h: F.shiftleft(F.element_at(rank, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS)))
+    return F.sort_array(F.array_distinct(moved))
 
 
 def _matches(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
-def _earlier(a: str, b: str) -> Column:
-    return F.struct(*[F.col(f"{a}.{c}") for c in ORDER]) < F.struct(*[F.col(f"{b}.{c}") for c in ORDER])
+def _may_match(a: str, b: str) -> Column:
+    """Length, positional and parity filters of two sets that share the words at their places ``i``."""
+    n, i, m, j = (F.col(f"{side}.{c}") for side in (a, b) for c in ("n", "i"))
+    differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m) & (9 * differing <= n + m)
 
 
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filters of sets of ``n`` and ``m`` that share their tokens at ``i`` and ``j``."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m)
+ORDER = ("id", "row", "line_no")
+PLACE = (*ORDER, "line_hash")
 
 
-ORDER = ("doc", "row", "line_no")
-PLACE = (*ORDER, "line_hash")
+def line_sets(rows: DataFrame, rank: Column) -> DataFrame:
+    """One row per distinct set of words, as a written table: its earliest line, size, parity bits and prefix, and its number ``set``,
+    which rises with the place of that line."""
+    sized = by_line(rows).select(*PLACE, keys_of(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
+    # sets of up to three words match only equal sets, so they need no prefix; 40 bits of a word suffice to meet by
+    short = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda k: k.bitwiseAND(F.lit((1 << 40) - 1)))
+    bits = F.expr("aggregate(keys, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63L AS INT)))")
+    sets = sized.select(*PLACE, "n", bits.alias("bits"), F.when(F.col("n") >= 4, short).alias("prefix"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"))
+    # a line that comes a billion times is one row of each task
+    first = F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("s")
+    single = materialize(sets.groupBy("k1", "k2").agg(first).select("s.*"), "line-sets")
+    free_shuffles(rows.sparkSession)
+    # numbers of sorted ranges rise with the order
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = single.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
+    out = materialize(ranged.withColumn("set", F.monotonically_increasing_id()), "line-sets")
+    discard(single)
+    return out
+
+
+def _prefix_words(stored: DataFrame) -> DataFrame:
+    """``word, s``: each set under the words of its prefix."""
+    each = stored.where("prefix is not null").select("set", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    return each.select("word", F.struct("set", "n", "bits", "i").alias("s"))
+
 
+def _pairs(joined: DataFrame) -> DataFrame:
+    """``x, y``: each pair of sets once, the later one as ``y``."""
+    return joined.select(F.least("a.set", "b.set").alias("x"), F.greatest("a.set", "b.set").alias("y")).distinct()
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """``doc, row, line_no, line_hash`` of the lines with words that match no earlier line.
 
-    ``docs`` has row numbers (``numbered``). ``doc`` is the id (the smallest long for a null one). Every row is a document of
-    its own; rows of one id are ordered by their numbers.
+def kept_lines(rows: DataFrame) -> DataFrame:
+    """``id, row, line_no, line_hash`` of the lines with words that match no earlier line, of ``numbered`` rows.
+
+    ``id`` is the document's (the smallest long for a null one). Every row is a document of its own; rows of one id are
+    ordered by their numbers.
     """
-    lines = by_line(docs)
-    rank = rarity(lines)
-    sized = with_shingles(lines).select(*PLACE, ordered(F.col("tokens"), rank).alias("keys")).withColumn("n", F.size("keys"))
-    # sets of up to three shingles match only equal sets, so they need no prefix
-    prefix = F.when(F.col("n") >= 4, F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1))
-    sets = sized.select(*PLACE, "n", prefix.alias("prefix"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"))
-    # equal sets: the earliest line stands for all; a line that comes a billion times is one row of each task
-    first = F.min(F.struct(*PLACE, "n", "prefix")).alias("s")
-    stored = materialize(sets.groupBy("k1", "k2").agg(first).select("s.*"), "line-sets")
-    tokens = stored.where("prefix is not null").select(*PLACE, "n", F.posexplode("prefix").alias("i", "token"))
-    group = Window.partitionBy("token").orderBy(*PLACE)
-    met = tokens.withColumn("anchor", F.first(F.struct(*PLACE, "n", "i")).over(group)).withColumn("more", F.lead("n").over(group).isNotNull())
-    is_anchor = (F.col("anchor.doc") == F.col("doc")) & (F.col("anchor.row") == F.col("row")) & (F.col("anchor.line_no") == F.col("line_no")) & (F.col("anchor.line_hash") == F.col("line_hash"))
-    shared = materialize(met.withColumn("is_anchor", is_anchor).where(~F.col("is_anchor") | F.col("more")).drop("more"), "line-shared")
-
-    # first round: each set and the earliest line of each of its shingles
-    near = shared.where(~F.col("is_anchor")).where(_may_match(F.col("anchor.n"), F.col("anchor.i"), F.col("n"), F.col("i")))
-    pairs = near.select(F.struct(*PLACE).alias("b"), F.struct(*[F.col(f"anchor.{c}").alias(c) for c in PLACE]).alias("a"))
-    settled = materialize(_verified(docs, rank, pairs), "line-settled")
-
-    # second round: sets that are still open and all earlier lines of their shingles but the earliest
-    open_ = shared.where(~F.col("is_anchor")).join(settled, list(PLACE), "left_anti").alias("b")
-    others = shared.where(~F.col("is_anchor")).alias("a")
-    both = open_.join(others, (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _may_match(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i")))
-    rest = both.select(F.struct(*[F.col(f"b.{c}").alias(c) for c in PLACE]).alias("b"), F.struct(*[F.col(f"a.{c}").alias(c) for c in PLACE]).alias("a"))
-    late = _verified(docs, rank, rest)
-    return stored.select(*PLACE).join(settled.unionByName(late), list(PLACE), "left_anti")
-
-
-def _verified(docs: DataFrame, rank: Column, pairs: DataFrame) -> DataFrame:
-    """The later lines ``b`` of the pairs whose whole sets match."""
-    pairs = materialize(pairs.where(_before(F.col("a"), F.col("b"))).distinct(), "line-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("p")).select("p.*").distinct()
-    # a bit for each document of a candidate, in 128 parts of 4 KB: picks the documents before their lines are dealt out
-    bit = F.pmod(F.xxhash64("doc", "row"), F.lit(FILTER_BITS))
-    bits = involved.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    with_bit = docs.select("doc_id", "text", ROW, F.col(ROW).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc")).withColumn("bit", bit)
+    rank = rarity(by_line(rows))
+    stored = line_sets(rows, rank)
+    free_shuffles(rows.sparkSession)
+
+    # first round: each set and the earliest set of each of its prefix words
+    words = _prefix_words(stored)
+    anchors = words.groupBy("word").agg(F.min("s").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("word", "a")
+    met = words.withColumnRenamed("s", "b").join(anchors, "word").where((F.col("a.set") < F.col("b.set")) & _may_match("a", "b"))
+    settled = _later_of(rows, rank, stored, _pairs(met))
+    free_shuffles(rows.sparkSession)
+
+    # second round: sets that are still open and all other sets of their words
+    open_ = _prefix_words(stored.join(settled, "set", "left_anti")).withColumnRenamed("s", "b")
+    both = open_.join(words.withColumnRenamed("s", "a"), "word").where((F.col("a.set") != F.col("b.set")) & _may_match("a", "b"))
+    late = _later_of(rows, rank, stored, _pairs(both))
+    free_shuffles(rows.sparkSession)
+    return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
+
+
+def _later_of(rows: DataFrame, rank: Column, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``set``: the later of each pair of sets that match on all their words, as a written table."""
+    pairs = materialize(pairs, "line-pairs")
+    free_shuffles(rows.sparkSession)
+    involved = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
+    places = materialize(stored.select("set", "row", "line_no").join(involved, "set"), "line-places")
+    # a bit for each row with a candidate, in 128 parts of 4 KB: picks the rows before their lines are dealt out
+    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    bits = places.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
-    chosen = with_bit.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
-    own = by_line(chosen).join(involved, list(PLACE), "left_semi")
-    whole = with_shingles(own).select(F.struct(*PLACE).alias("p"), ordered(F.col("tokens"), rank).alias("keys"))
-    a, b = whole.select(F.col("p").alias("a"), F.col("keys").alias("a_keys")), whole.select(F.col("p").alias("b"), F.col("keys").alias("b_keys"))
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where(_matches(F.size(F.array_intersect("a_keys", "b_keys")), F.size("a_keys"), F.size("b_keys"))).select("b.*").distinct()
+    chosen = rows.withColumn("bit", bit).withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
+    whole = by_line(chosen).select("row", "line_no", "line").join(places, ["row", "line_no"]).select("set", keys_of(F.col("line"), rank).alias("keys"))
+    x, y = (whole.select(F.col("set").alias(s), F.col("keys").alias(f"{s}_keys")) for s in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    equal = _matches(F.size(F.array_intersect("x_keys", "y_keys")), F.size("x_keys"), F.size("y_keys"))
+    later = materialize(both.where(equal).select(F.col("y").alias("set")).distinct(), "line-later")
+    discard(pairs, places)
+    return later
 
 
-def _before(a: Column, b: Column) -> Column:
-    """Earlier, by document, row and line number."""
-    return F.struct(*[a[c] for c in ORDER]) < F.struct(*[b[c] for c in ORDER])
+def _kept_of(rows: DataFrame) -> DataFrame:
+    """``row, kept``: the kept lines of each row as one list; the row's own lines bound it."""
+    return kept_lines(rows).groupBy("row").agg(F.collect_list(F.struct("line_no", "line_hash")).alias("kept"))
 
 
-def _kept_of(docs: DataFrame) -> DataFrame:
-    """``row, kept``: the kept lines of each row as one list; the row's own lines bound it."""
-    return kept_lines(docs).groupBy("row").agg(F.collect_list(F.struct("line_no", "line_hash")).alias("kept"))
+_NONE = "array<struct<line_no:int,line_hash:bigint>>"
+
+
+def _hashes(lines: Column) -> Column:
+    """A hash for each line with words, null for the others."""
+    return F.transform(lines, lambda line: F.when(F.btrim(line, F.lit(WHITE)) != "", F.xxhash64(line)))
 
 
-def _with_removed(rows: DataFrame) -> DataFrame:
-    """Adds ``_removed`` to rows with ``_lines`` and ``_kept``: line numbers (from 0, ascending) with words that are not kept."""
-    none = F.array().cast("array<struct<line_no:int,line_hash:bigint>>")
-    hashed = rows.withColumn("_hashes", F.transform("_lines", lambda line: F.when(F.btrim(line, F.lit(WHITE)) != "", F.xxhash64(line))))
-    own = F.filter(F.coalesce("_kept", none), lambda k: F.get(F.col("_hashes"), k["line_no"]) == k["line_hash"])
-    worded = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: F.get(F.col("_hashes"), i).isNotNull())
-    return hashed.withColumn("_removed", F.array_except(worded, F.transform(own, lambda k: k["line_no"]))).drop("_hashes")
+def _removed(hashes: str, kept: str) -> Column:
+    """Numbers (from 0, ascending) of the lines with words that are not kept."""
+    own = F.filter(F.coalesce(kept, F.array().cast(_NONE)), lambda k: F.get(F.col(hashes), k["line_no"]) == k["line_hash"])
+    worded = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.get(F.col(hashes), i).isNotNull())
+    return F.array_except(worded, F.transform(own, lambda k: k["line_no"]))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with matching later lines taken out of ``text`` (and ``n_chars`` counted anew where it is there).
 
     A text of which no line goes, null and empty texts among them, stays as it is; a text that loses all lines becomes
-    empty. Every row is a document of its own: of exact copies, the row read first keeps its lines, whatever their ids.
+    empty. Every row is a document of its own: of exact copies with one id, the row read first keeps its lines. Columns of any name pass through.
     """
     rows = numbered(docs)
-    kept = _kept_of(rows).select(F.col("row").alias(ROW), F.col("kept").alias("_kept"))
-    joined = rows.join(kept, ROW, "left")
-    marked = _with_removed(joined.withColumn("_lines", split_lines(F.coalesce("text", F.lit("")))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    text = F.when(F.size("_removed") > 0, F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")).otherwise(F.col("text"))
-    out = marked.withColumn("text", text).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    lines = split_lines(F.coalesce("doc.text", F.lit("")))
+    marked = rows.join(_kept_of(rows), "row", "left").select("doc", "kept", lines.alias("lines"), _hashes(lines).alias("hashes")).select("doc", "lines", _removed("hashes", "kept").alias("removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.when(F.size("removed") > 0, F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")).otherwise(F.col("doc.text"))
+    clean = marked.select("doc", text.alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` of every row: how many lines it has and which go, counted from 0."""
-    slim = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     # only hashes of lines are dealt out beside the kept lines
-    hashes = F.transform(split_lines(F.col("text")), lambda line: F.when(F.btrim(line, F.lit(WHITE)) != "", F.xxhash64(line)))
-    rows = slim.select("doc_id", F.col(ROW).alias("row"), hashes.alias("hashes"))
-    joined = rows.join(_kept_of(slim), "row", "left")
-    own = F.filter(F.coalesce("kept", F.array().cast("array<struct<line_no:int,line_hash:bigint>>")), lambda k: F.get(F.col("hashes"), k["line_no"]) == k["line_hash"])
-    worded = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get(F.col("hashes"), i).isNotNull())
-    removed = joined.select("doc_id", F.size("hashes").alias("n_lines"), F.array_except(worded, F.transform(own, lambda k: k["line_no"])).alias("removed"))
+    hashed = rows.select(F.col("doc.doc_id").alias("doc_id"), "row", _hashes(split_lines(F.col("doc.text"))).alias("hashes"))
+    joined = hashed.join(_kept_of(rows), "row", "left")
+    removed = joined.select("doc_id", F.size("hashes").alias("n_lines"), _removed("hashes", "kept").alias("removed"))
     return removed.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
