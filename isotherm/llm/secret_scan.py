@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotherm.llm.common import map_batches, texts
+from isotherm.session import discard, materialize
 
 KINDS = ("assign", "access", "hex", "costly")
 # fixed values: the base patterns
@@ -54,46 +55,71 @@ WORDS = (
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 # fixed values: rows of a keyboard
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = [
+    re.compile(r)
+    for r in (
+        r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+]
 DATE_COST = math.log10(365 * 120)
 YEAR_COST = math.log10(120)
+#: a walk starts at one of 47 keys and goes one of four ways
+WALK_COST = math.log10(47 * 4)
 RANKS = {w: r for r, w in enumerate(WORDS, 1)}
 LETTERS = re.compile(r"[^\W\d_]+")
 #: the dictionary holds at most so many words of the corpus, the most frequent ones; each has at most LONGEST letters and
 #: stands in at least LEAST_TEXTS texts
 MAX_WORDS, LONGEST, LEAST_TEXTS = 50_000, 32, 2
+# a key touches its neighbours in the row, and two keys of the row below, which is shifted by half a key
 _BESIDE = {(a, b) for row in ROWS for a, b in zip(row, row[1:])}
+_BESIDE |= {(a, below) for row, under in zip(ROWS, ROWS[1:]) for k, a in enumerate(row) for below in under[max(k - 1, 0) : k + 1]}
 BESIDE = _BESIDE | {(b, a) for a, b in _BESIDE}
+# fixed values: what the shift key makes of the symbol keys
+UNSHIFT = str.maketrans('!@#$%^&*()_+{}:"<>?', "1234567890-=[];',./")
 
 
 def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
+def _runs(size: int, width: int, goes_on) -> list[tuple[int, int]]:
+    """For each place the first and the end of the longest run through it: ``goes_on(k)`` ties the character at k to the one ``width`` behind it."""
+    out = [(k, k) for k in range(size)]
+    first = 0
+    for k in range(size):
+        if k + width >= size or not goes_on(k):
+            # the run of places first .. k - 1 that go on ends with the last character they are tied to
+            for place in range(first, k):
+                out[place] = (first, k - 1 + width + 1)
+            first = k + 1
+    return out
+
+
 def guess_cost(value: str, ranks: Mapping[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for the empty string.
 
     ``best[e]`` is the least cost of the first ``e`` characters; each further segment also costs a factor of two for
-    the order of segments. Runs (repeats, walks) are found by extending them while they hold, and a brute-force span is
-    extended one character at a time, so the whole is linear in the length times the longest word.
+    the order of segments. A repeat or walk has three characters or more, a block of two to four characters that comes again
+    may stop in the middle; all three may start and end anywhere in their run. Two segments of one run where the first is no
+    word or date are never cheaper than one, so behind the longest word only starts right after a word or date are tried, and
+    the whole is about linear in the length.
     """
     size, low = len(value), value.lower()
     if not size:
         return 0.0
-    plain, step = low.translate(LEET), math.log10(2)
+    plain, keys, step = low.translate(LEET), low.translate(UNSHIFT), math.log10(2)
+    single = [math.log10(_alphabet(c)) for c in value]
     best = [0.0] + [math.inf] * size
     brute = [math.inf] * (size + 1)  # least cost of a prefix that ends in a brute-force span
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for start in range(size):
-        if low[start].isdigit() and (m := DATE.match(low, start)):
-            dates.setdefault(start, []).append((m.end(), YEAR_COST if m.end() - start == 4 else DATE_COST))
-    repeat = walk = 0
-    reach = dict.fromkeys((2, 3, 4), 0)  # where a character first differs from the one a width behind it
+    after_word = [False] * (size + 1)  # whether a word or date ends here
+    walks = _runs(size, 1, lambda k: (keys[k], keys[k + 1]) in BESIDE)
+    blocks = [_runs(size, w, lambda k, w=w: low[k] == low[k + w]) for w in (1, 2, 3, 4)]
     for start in range(size):
-        here = best[start]
-        more = step if start else 0.0
+        here, more = best[start], step if start else 0.0
         # one more brute-force character: go on with the span or begin one
-        grown = min(brute[start], here + more) + math.log10(_alphabet(value[start]))
+        grown = min(brute[start], here + more) + single[start]
         brute[start + 1] = min(brute[start + 1], grown)
         best[start + 1] = min(best[start + 1], grown)
         for length in range(3, min(LONGEST, size - start) + 1):
@@ -103,28 +129,17 @@ def guess_cost(value: str, ranks: Mapping[str, int] = RANKS) -> float:
                 if rank:
                     case = 0.0 if value[start:end].islower() else 0.4
                     best[end] = min(best[end], here + more + math.log10(rank + 1) + case + leet)
-        for end, cost in dates.get(start, ()):
-            best[end] = min(best[end], here + more + cost)
-        # runs: their ends are the furthest place the run that starts here reaches
-        repeat, walk = max(repeat, start + 1), max(walk, start + 1)
-        while repeat < size and low[repeat] == low[repeat - 1]:
-            repeat += 1
-        while walk < size and (low[walk - 1], low[walk]) in BESIDE:
-            walk += 1
-        if repeat - start >= 3:
-            best[repeat] = min(best[repeat], here + more + math.log10(_alphabet(value[start]) * (repeat - start)))
-        if walk - start >= 3:
-            best[walk] = min(best[walk], here + more + math.log10(47 * 4 * (walk - start)))
-        # a block that comes again at once: as dear as the block, times the number of times
-        for width in (2, 3, 4):
-            reach[width] = max(reach[width], start)
-            while reach[width] + width < size and low[reach[width]] == low[reach[width] + width]:
-                reach[width] += 1
-            end = start + width + (reach[width] - start) // width * width
-            if end > start + width:
-                block = sum(math.log10(_alphabet(c)) for c in value[start : start + width])
-                best[end] = min(best[end], here + more + block + math.log10((end - start) / width))
-                break
+                    after_word[end] = True
+        if low[start].isdigit():
+            for m in filter(None, (d.match(low, start) for d in DATES)):
+                end = m.end()
+                best[end] = min(best[end], here + more + (YEAR_COST if end - start == 4 else DATE_COST))
+                after_word[end] = True
+        for width, least, (first, last) in ((0, 3, walks[start]), *((w, max(3, 2 * w), b[start]) for w, b in enumerate(blocks, 1))):
+            if last - start >= least and (start - first <= LONGEST or after_word[start]):
+                base = here + more + (sum(single[start : start + width]) - math.log10(width) if width else WALK_COST)
+                for end in range(start + least, last + 1):
+                    best[end] = min(best[end], base + math.log10(end - start))
     return best[size]
 
 
@@ -149,7 +164,7 @@ FIXED = Judge()
 def dictionary(docs: DataFrame) -> dict[str, int]:
     """``word -> rank``: the fixed words, then those of ``docs`` by the number of texts they stand in.
 
-    Words are runs of letters. Values in credential contexts are not counted.
+    Words are runs of letters. Values in credential contexts are not counted. Of the words of one count, all are in the dictionary or none.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +178,18 @@ def dictionary(docs: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counted = texts(docs).select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    known = counted.where((F.col("n") >= LEAST_TEXTS) & ~F.col("word").isin(*WORDS)).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
-    return RANKS | {r["word"]: k for k, r in enumerate(known.collect(), len(WORDS) + 1)}
+    counted = materialize(counted.where((F.col("n") >= LEAST_TEXTS) & ~F.col("word").isin(*WORDS)), "words")
+    # the least count that no more than MAX_WORDS words reach: only those come here, and no task sends more
+    words_of_count = sorted(((r["n"], r["m"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    held, least = 0, None
+    for n, m in words_of_count:
+        held += m
+        if held > MAX_WORDS:
+            break
+        least = n
+    known = [] if least is None else [(-r["n"], r["word"]) for r in counted.where(F.col("n") >= least).collect()]
+    discard(counted)
+    return RANKS | {word: k for k, (_, word) in enumerate(sorted(known), len(WORDS) + 1)}
 
 
 def without_values(text: str) -> str:
@@ -176,13 +201,13 @@ def without_values(text: str) -> str:
 
 
 def values_of(text: str) -> list[tuple[int, int]]:
-    """``(start, end)`` of the whole values of eight or more characters in credential contexts."""
+    """``(start, end)`` of the whole values in credential contexts."""
     found = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(m.lastindex)
         if m.lastindex == 3:  # not quoted: what closes a sentence or bracket is no part of it
             end = start + len(m[3].rstrip("\"'.,;:)]}>"))
-        if end - start >= 8:
+        if end > start:
             found.append((start, end))
     return found
 
@@ -221,7 +246,10 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row; no spans for null or empty texts."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
+
+    Null and empty texts have no spans; repeated rows and null ids are rows of their own; an empty table gives no rows; texts and values of any length are read whole.
+    """
 
     ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
 

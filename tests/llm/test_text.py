@@ -71,6 +71,50 @@ def test_base_spans():
         assert [s for s in secret_scan.spans_of(text) if s[0] != "costly"] == plain_secrets(text), text
 
 
+def exhaustive_cost(value, ranks):
+    """Least cost over all segmentations, each segment at its cheapest reading."""
+    low, math = value.lower(), secret_scan.math
+
+    def segment(a, b):
+        part, lows, size = value[a:b], low[a:b], b - a
+        costs = [sum(math.log10(secret_scan._alphabet(c)) for c in part)]
+        for text, leet in ((lows, 0.0), (lows.translate(secret_scan.LEET), 0.5)):
+            if size >= 3 and text in ranks:
+                costs.append(math.log10(ranks[text] + 1) + leet + (0.0 if part.islower() else 0.4))
+        # a date is read as the pattern reads it from its first character on
+        costs += [secret_scan.YEAR_COST if size == 4 else secret_scan.DATE_COST for d in secret_scan.DATES if (m := d.match(low, a)) and m.end() == b]
+        keys = lows.translate(secret_scan.UNSHIFT)
+        if size >= 3 and all((x, y) in secret_scan.BESIDE for x, y in zip(keys, keys[1:])):
+            costs.append(math.log10(47 * 4 * size))
+        for w in (1, 2, 3, 4):
+            if size >= max(3, 2 * w) and all(lows[k] == lows[k + w] for k in range(size - w)):
+                costs.append(sum(math.log10(secret_scan._alphabet(c)) for c in part[:w]) + math.log10(size / w))
+        return min(costs)
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[a] + (math.log10(2) if a else 0.0) + segment(a, end) for a in range(end)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    random_ = random.Random(9)
+    ranks = secret_scan.RANKS | {"aaa": 300, "qwe": 200, "sdf": 350, "abab": 400}
+    bits = ["a", "aa", "aaa", "ab", "Q", "qwe", "rty", "1qaz", "2wsx", "!QAZ", "password", "p4ssw0rd", "1999", "2024-01-31", "31122020", "x", "#", "é", "sdf", "0", "12", "abc", "Summer"]
+    for _ in range(1500):
+        value = "".join(random_.choice(bits) for _ in range(random_.randrange(1, 9)))
+        # a span of brute force costs no more for being cut, so the sums differ in rounding alone
+        assert abs(secret_scan.guess_cost(value, ranks) - exhaustive_cost(value, ranks)) < 1e-9, value
+    for value in ("1qaz2wsx3edc", "zaq12wsx", "!QAZ@WSX", "qwertyuiopassword", "a" * 100_000, "qw" * 50_000):
+        assert secret_scan.guess_cost(value) < secret_scan.COSTLY, value
+    assert secret_scan.guess_cost("#k!^z&%") >= secret_scan.COSTLY
+
+
+def test_short_costly_values_are_found():
+    text = "password: '#k!^z&%' and pwd=abc and token = x"
+    assert [(k, text[a:b]) for k, a, b in secret_scan.spans_of(text) if k == "costly"] == [("costly", "#k!^z&%")]
+
+
 def test_guess_cost():
     cost = secret_scan.guess_cost
     assert cost("") == 0
