@@ -85,7 +85,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, length: Colum
 
     ``length`` is the number of tokens of a row (by default its words and one end token; at least 1 is taken). A batch
     holds ``max(1, budget // pad_to)`` documents of one bucket; ``batch`` counts from 0 inside a bucket, ``slot`` inside
-    a batch. Rows are dealt to shards of a bucket by a hash of their id, and ordered by id inside a shard; repeated rows
+    a batch. Rows are dealt to shards of a bucket by a hash of their id and row, so that no id fills one, and ordered by id inside a shard; repeated rows
     take places of their own, null ids come first. An empty table gives no rows.
     """
     if buckets < 1 or budget < 1:
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, length: Colum
     placed = (
         sized.withColumn("bucket", F.size(F.filter(steps, lambda b: b < F.col("n_tokens"))))
         .withColumn("pad_to", F.element_at(steps, F.col("bucket") + 1))
-        .withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
     )
     sizes = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
