@@ -111,10 +111,10 @@ def line_sets(rows: DataFrame, rank: Column) -> DataFrame:
     return out
 
 
-def _prefix_words(stored: DataFrame) -> DataFrame:
+def _prefix_words(stored: DataFrame, *more: str) -> DataFrame:
     """``word, s``: each set under the words of its prefix."""
-    each = stored.where("prefix is not null").select("set", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    return each.select("word", F.struct("set", "n", "bits", "i").alias("s"))
+    each = stored.where("prefix is not null").select("set", "n", "bits", *more, F.posexplode("prefix").alias("i", "word"))
+    return each.select("word", F.struct("set", "n", "bits", "i", *more).alias("s"))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -139,9 +139,11 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     settled = _later_of(rows, rank, stored, _pairs(met))
     free_shuffles(rows.sparkSession)
 
-    # second round: sets that are still open and all other sets of their words
-    open_ = _prefix_words(stored.join(settled, "set", "left_anti")).withColumnRenamed("s", "b")
-    both = open_.join(words.withColumnRenamed("s", "a"), "word").where((F.col("a.set") != F.col("b.set")) & _may_match("a", "b"))
+    # second round: sets that are still open and all other sets of their words; both sides are one shuffle, read twice
+    marked = stored.join(settled.withColumn("done", F.lit(True)), "set", "left").withColumn("open", F.col("done").isNull())
+    words = _prefix_words(marked, "open")
+    both = words.alias("l").join(words.alias("r"), F.col("l.word") == F.col("r.word")).select(F.col("l.s").alias("a"), F.col("r.s").alias("b"))
+    both = both.where((F.col("a.set") < F.col("b.set")) & (F.col("a.open") | F.col("b.open")) & _may_match("a", "b"))
     late = _later_of(rows, rank, stored, _pairs(both))
     free_shuffles(rows.sparkSession)
     return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
