@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -111,7 +112,9 @@ def parse(source: str) -> Page:
     """Elements and text blocks of a page."""
     nodes = [Node(key(""), -1, "", False, False)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("", 0)]
+    #: open elements: tag, node, and whether it lies in the main text
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    is_open: Counter[str] = Counter()
     held: list[str] = []
     at = 0
 
@@ -124,10 +127,13 @@ def parse(source: str) -> Page:
 
     def close(to: int) -> None:
         flush()
+        is_open.subtract(tag for tag, _, _ in stack[to:])
         del stack[to:]
 
     def find(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> int:
         """Place of the innermost open element of these names, before one of ``stop``; 0 if there is none."""
+        if not any(is_open[name] for name in names):
+            return 0
         for place in range(len(stack) - 1, 0, -1):
             if stack[place][0] in names:
                 return place
@@ -159,8 +165,7 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        in_main = any(nodes[i].main for _, i in stack) if attributes or tag == "header" else False
-        kind, noise, main = _named(tag, attributes, in_main)
+        kind, noise, main = _named(tag, attributes, stack[-1][2])
         if tag not in BLOCKS and not noise:
             continue  # inline markup is part of its block
         if tag in CLOSES_P and (place := find({"p"}, frozenset(["button", "td", "th"]))):
@@ -171,7 +176,8 @@ def parse(source: str) -> Page:
         parent = nodes[stack[-1][1]]
         path = parent.path if parent.kind == kind else key(f"{parent.path}>{kind}")
         nodes.append(Node(path, stack[-1][1], kind, noise, main))
-        stack.append((tag, len(nodes) - 1))
+        stack.append((tag, len(nodes) - 1, stack[-1][2] or main))
+        is_open[tag] += 1
     held.append(source[at:])
     flush()
     return Page(nodes, blocks)
