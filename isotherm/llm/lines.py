@@ -143,7 +143,8 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     marked = stored.join(settled.withColumn("done", F.lit(True)), "set", "left").withColumn("open", F.col("done").isNull())
     words = _prefix_words(marked, "open")
     both = words.alias("l").join(words.alias("r"), F.col("l.word") == F.col("r.word")).select(F.col("l.s").alias("a"), F.col("r.s").alias("b"))
-    both = both.where((F.col("a.set") < F.col("b.set")) & (F.col("a.open") | F.col("b.open")) & _may_match("a", "b"))
+    # the later set of a pair is the one that would go
+    both = both.where((F.col("a.set") < F.col("b.set")) & F.col("b.open") & _may_match("a", "b"))
     late = _later_of(rows, rank, stored, _pairs(both))
     free_shuffles(rows.sparkSession)
     return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
