@@ -1,6 +1,6 @@
 """Exact nearest neighbours as equi-joins on grid buckets.
 
-Phase one looks in the 3 x 3 buckets around a query. That answer is final when it is closer
+Phase one looks in the 3 x 3 buckets around a query, in buckets of growing size. That answer is final when it is closer
 than anything outside those buckets can be. For the few queries where it is not, the
 occupied buckets are summarised (centre and radius; their number has a fixed bound set by
 the globe and the bucket size), each query keeps only the buckets that could still hold the
@@ -88,41 +88,49 @@ def nearest(
     query_id: Sequence[str],
     payload: Sequence[str],
     metric: Sphere | Plane | None = None,
-    sizes: Sequence[float] = (0.5, 6.0),
+    sizes: Sequence[float] = (0.125, 0.5, 2.0, 6.0),
     summary_size: float = 6.0,
     within: Sequence[str] = (),
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """The nearest place of every query: the query columns, ``dist`` and ``payload``.
 
-    ``sizes`` are the bucket sizes tried in turn, each on what the one before left open: small
+    Queries at one spot share their answer, and of the places at one spot only the one that wins its ties can be nearest,
+    so the work follows the distinct spots.
+
+    ``query_id`` names the queries in the result; ``sizes`` are the bucket sizes tried in turn, each on what the one before
+    left open, so a query meets a large bucket only where the small ones around it are empty: small
     buckets keep dense places cheap, large ones only ever meet thinly settled ground.
     Ties go to the smallest ``tie`` columns. A query with no place in its ``within`` group
     keeps null ``dist`` and payload. On a sphere the sizes must divide 360.
     """
     metric = metric or Sphere()
-    ids, within = list(query_id), list(within)
+    within = list(within)
+    columns = [*within, "y", "x"]
+    # the ids need no part: a spot's answer goes to all its queries
     near = F.struct(F.col("dist"), *[F.col(t) for t in tie], *[F.col(p) for p in payload if p not in tie])
-    columns = list(dict.fromkeys([*ids, *within, "y", "x"]))
-    side = places.select(*dict.fromkeys([*within, "py", "px", *tie, *payload]))
+    carried = list(dict.fromkeys([*tie, *payload]))
+    first = F.min(F.struct(*carried)).alias("_first")
+    spots = places.where("py IS NOT NULL AND px IS NOT NULL").groupBy(*within, "py", "px").agg(first)
+    side = spots.select(*within, "py", "px", *[F.col(f"_first.{c}").alias(c) for c in carried])
 
     def best(pairs: DataFrame) -> DataFrame:
         scored = pairs.withColumn("dist", metric.distance(F.col("y"), F.col("x"), F.col("py"), F.col("px")))
-        return scored.groupBy(*ids).agg(F.min(near).alias("_best"))
+        return scored.groupBy(*columns).agg(F.min(near).alias("_best"))
 
-    rest = queries.select(*columns)
+    rest = queries.select(*columns).where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).distinct()
     answers = None
     for size in sizes:
         # stored: what is settled and what is not are read from it, and no later size repeats this one
-        tried = materialize(rest.join(best(candidates(rest, side, metric, size, within)), ids, "left"), "nearest")
-        # a place outside the buckets may lie exactly at the reach and win the tie
-        settled = F.coalesce(F.col("_best.dist") < metric.reach(F.col("y"), size), F.lit(False))
-        found = tried.where(settled).select(*ids, "_best")
+        tried = materialize(rest.join(best(candidates(rest, side, metric, size, within)), columns, "left"), "nearest")
+        # a place outside the buckets may lie at the reach, but for the last bits, and win the tie
+        settled = F.coalesce(F.col("_best.dist") < metric.reach(F.col("y"), size) * (1 - 1e-9), F.lit(False))
+        found = tried.where(settled).select(*columns, "_best")
         answers = found if answers is None else answers.unionByName(found)
         rest = tried.where(~settled).select(*columns)
-    answers = answers.unionByName(best(_open_places(rest, side, ids, columns, within, metric, summary_size)))
+    answers = answers.unionByName(best(_open_places(rest, side, columns, columns, within, metric, summary_size)))
     return (
-        queries.join(answers, ids, "left")
+        queries.join(answers, columns, "left")
         .withColumn("dist", F.col("_best.dist"))
         .withColumns({p: F.col(f"_best.{p}") for p in payload})
         .drop("_best")

@@ -165,7 +165,7 @@ def snap_to_land(targets: DataFrame, points: DataFrame) -> DataFrame:
         F.col("row").cast("double").alias("py"), F.col("col").cast("double").alias("px"),
     )
     found = nearest(
-        asked, land, ["cell_id", "tile"], ["land_row", "land_col"], Plane(), sizes=(4.0, 16.0), summary_size=10.0,
+        asked, land, ["cell_id", "tile"], ["land_row", "land_col"], Plane(), sizes=(1.0, 2.0, 4.0, 16.0), summary_size=10.0,
         within=["tile"], tie=["land_row", "land_col"],
     )
     return found.withColumnRenamed("dist", "steps").drop("y", "x")

@@ -239,3 +239,14 @@ def test_cell_list_invariants(spark):
     assert cells.tail_counts(df, df).isEmpty()
     changed = df.withColumn("name", F.when(F.col("cell_id") == 3, "C, Chad").otherwise(F.col("name")))
     assert {(r["tail"], r["before"], r["after"]) for r in cells.tail_counts(df, changed).collect()} == {("Chad", 2, 3), ("Mali", 1, 0)}
+
+
+def test_nearest_of_copies_follows_the_spots(spark, monkeypatch):
+    """Copies at one spot meet once: 300 queries and 300 places at each of ten spots are ten queries and ten places."""
+    q = spark.createDataFrame([(k, float(k % 10), 0.0) for k in range(3000)], "qid int, y double, x double")
+    p = spark.createDataFrame([(k, float(k % 10) + 0.01, 0.0) for k in range(3000)], "pid int, py double, px double")
+    pairs, real = [], nearest.candidates
+    monkeypatch.setattr(nearest, "candidates", lambda *a, **k: pairs.append(real(*a, **k).count()) or real(*a, **k))
+    got = nearest.nearest(q, p, ["qid"], ["pid"], tie=["pid"]).collect()
+    assert len(got) == 3000 and all(r["pid"] == r["qid"] % 10 for r in got)
+    assert sum(pairs) <= 100
