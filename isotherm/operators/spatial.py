@@ -13,6 +13,7 @@ from isotherm.functions import geo
 from isotherm.functions.rounding import half_up, snap
 from isotherm.operators.keyed import top_row
 from isotherm.operators.nearest import Plane, Sphere, nearest
+from isotherm.session import materialize
 
 # Naming radii and population ratio.
 PROMINENCE_KM = 8.0
@@ -92,38 +93,40 @@ def name_cells(cells: DataFrame, places: DataFrame, k: int | None = None) -> Dat
     A much larger place of another name within 12 km is added as the parent. ``k`` limits
     the places of a cell that are considered to its nearest, by projected distance; by default all in reach are.
     """
-    spots = cells.select("cell_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    asked = cells.select("cell_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    # a name depends on the spot alone, so cells at one spot share it
+    spots = asked.where("y IS NOT NULL AND x IS NOT NULL").select("y", "x").distinct()
     towns = places.select(
         "place_id", F.col("name").alias("town"), F.col("population").alias("people"), "cc",
         F.col("lat").alias("py"), F.col("lon").alias("px"),
     )
     close = within_radius(spots, towns, PARENT_KM)
-    order = Window.partitionBy("cell_id").orderBy(
-        geo.projected_km(F.col("y"), F.col("x"), F.col("py"), F.col("px")), "place_id"
-    )
-    close = close.withColumn("_rank", F.row_number().over(order))
+    planar = geo.projected_km(F.col("y"), F.col("x"), F.col("py"), F.col("px"))
+    close = close.withColumn("_planar", planar).select("y", "x", "place_id", "town", "people", "cc", "km", "_planar")
     if k is not None:
-        close = close.where(F.col("_rank") <= k)
+        order = Window.partitionBy("y", "x").orderBy("_planar", "place_id")
+        close = close.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+    # of equal people the nearer by projected distance goes first
+    nearer = [-F.col("_planar"), -F.col("place_id")]
     prominent = close.where(F.col("km") <= PROMINENCE_KM)
-    chosen = top_row(
-        prominent.select("cell_id", "place_id", "town", "people", "cc", "km", "_rank"), ["cell_id"], [F.col("people"), -F.col("_rank")]
-    ).drop("_rank")
-    unnamed = spots.join(chosen.select("cell_id"), "cell_id", "left_anti")
+    chosen = top_row(prominent, ["y", "x"], [F.col("people"), *nearer]).drop("_planar")
+    unnamed = spots.join(chosen.select("y", "x"), ["y", "x"], "left_anti")
     payload = ["place_id", "town", "people", "cc"]
-    lonely = nearest(unnamed, towns, ["cell_id"], payload, Sphere(), tie=["place_id"]).withColumnRenamed("dist", "km")
-    picked = chosen.unionByName(lonely.select(*chosen.columns))
-    rivals = close.select("cell_id", F.col("town").alias("_town"), F.col("people").alias("_people"), "_rank")
+    lonely = nearest(unnamed, towns, ["y", "x"], payload, Sphere(), tie=["place_id"]).withColumnRenamed("dist", "km")
+    picked = materialize(chosen.unionByName(lonely.select(*chosen.columns)), "named")
+    rivals = close.select("y", "x", F.col("town").alias("_town"), F.col("people").alias("_people"), "_planar", "place_id")
     parents = top_row(
-        picked.select("cell_id", "town", "people")
-        .join(rivals, "cell_id")
+        picked.select("y", "x", "town", "people")
+        .join(rivals, ["y", "x"])
         .where((F.col("_town") != F.col("town")) & (F.col("_people") >= F.lit(PARENT_RATIO) * F.greatest("people", F.lit(1))))
-        .select("cell_id", "_town", "_people", "_rank"),
-        ["cell_id"],
-        [F.col("_people"), -F.col("_rank")],
-    )
-    named = picked.join(parents, "cell_id", "left")
+        .select("y", "x", "_town", "_people", "_planar", "place_id"),
+        ["y", "x"],
+        [F.col("_people"), *nearer],
+    ).select("y", "x", "_town")
     label = F.concat_ws(", ", F.col("town"), F.col("_town"))
-    return named.select("cell_id", label.alias("name"), "cc", "km")
+    named = picked.join(parents, ["y", "x"], "left").select("y", "x", label.alias("name"), "cc", "km")
+    # a cell without a place on the map is named after nothing
+    return asked.join(named, ["y", "x"], "left").select("cell_id", F.coalesce("name", F.lit("")).alias("name"), "cc", "km")
 
 
 def fold(name: Column) -> Column:

@@ -250,3 +250,13 @@ def test_nearest_of_copies_follows_the_spots(spark, monkeypatch):
     got = nearest.nearest(q, p, ["qid"], ["pid"], tie=["pid"]).collect()
     assert len(got) == 3000 and all(r["pid"] == r["qid"] % 10 for r in got)
     assert sum(pairs) <= 100
+
+
+def test_names_of_cells_at_one_spot_are_worked_out_once(spark, monkeypatch):
+    cells = spark.createDataFrame([(k, 10.0, 20.0) for k in range(400)] + [(900, 10.0, 40.0)], "cell_id int, lat double, lon double")
+    towns = spark.createDataFrame([(1, "A", 50, 7, 10.0, 20.01), (2, "B", 50, 8, 10.0, 20.02), (3, "Big", 900, 9, 10.0, 20.1)], "place_id int, name string, population int, cc int, lat double, lon double")
+    pairs, real = [], spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda *a, **k: pairs.append(real(*a, **k).count()) or real(*a, **k))
+    got = {r["cell_id"]: (r["name"], r["cc"]) for r in spatial.name_cells(cells, towns).collect()}
+    assert len(got) == 401 and got[5] == ("A, Big", 7) and got[900][1] == 9
+    assert sum(pairs) <= 6
