@@ -135,23 +135,31 @@ def fold(name: Column) -> Column:
 
 
 def places_named(labels: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """Places called like the label's place within ``km`` of its pin.
+    """Places called like the label's place within ``km`` of its pin, by classes.
 
-    Labels carry ``cell_id``, ``lat``, ``lon`` and ``place``.
+    Labels carry ``cell_id``, ``lat``, ``lon`` and ``place``. Labels of one name at one spot are one class, and so are places
+    of one name and country at one spot; a row is a pair of classes: the label's ``_fold``, ``y`` and ``x``, the smallest
+    ``place_id``, ``cc``, ``km`` and how many ``places`` the class has. ``label_class`` says which class a label is in.
     """
-    asked = labels.select("cell_id", F.col("lat").alias("y"), F.col("lon").alias("x"), fold(F.col("place")).alias("_fold"))
+    asked = label_class(labels).select("_fold", "y", "x").distinct()
     known = places.select("place_id", "cc", F.col("lat").alias("py"), F.col("lon").alias("px"), fold(F.col("name")).alias("_fold"))
-    return within_radius(asked, known, km, on=["_fold"]).select("cell_id", "place_id", "cc", "km")
+    known = known.groupBy("_fold", "py", "px", "cc").agg(F.min("place_id").alias("place_id"), F.count(F.lit(1)).alias("places"))
+    return within_radius(asked, known, km, on=["_fold"]).select("_fold", "y", "x", "place_id", "cc", "km", "places")
+
+
+def label_class(labels: DataFrame) -> DataFrame:
+    """Labels with their folded place and pin, the key of ``places_named``."""
+    return labels.withColumns({"y": F.col("lat"), "x": F.col("lon"), "_fold": fold(F.col("place"))})
 
 
 def country_agreement(labels: DataFrame, matches: DataFrame) -> DataFrame:
     """Per label: matches found, whether one lies in the label's country, the nearest one's country."""
-    found = matches.groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("matches"),
+    found = matches.groupBy("_fold", "y", "x").agg(
+        F.sum("places").alias("matches"),
         F.collect_set("cc").alias("_ccs"),  # at most one entry per country
         F.min_by("cc", F.struct("km", "place_id")).alias("nearest_cc"),
     )
-    joined = labels.join(found, "cell_id", "left")
+    joined = label_class(labels).join(found, ["_fold", "y", "x"], "left").drop("_fold", "y", "x")
     return joined.withColumn("matches", F.coalesce("matches", F.lit(0))).withColumn(
         "agrees", F.when(F.col("_ccs").isNotNull(), F.array_contains("_ccs", F.col("country")))
     ).drop("_ccs")

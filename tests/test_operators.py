@@ -260,3 +260,12 @@ def test_names_of_cells_at_one_spot_are_worked_out_once(spark, monkeypatch):
     got = {r["cell_id"]: (r["name"], r["cc"]) for r in spatial.name_cells(cells, towns).collect()}
     assert len(got) == 401 and got[5] == ("A, Big", 7) and got[900][1] == 9
     assert sum(pairs) <= 6
+
+
+def test_labels_and_places_meet_by_classes(spark):
+    labels = spark.createDataFrame([(k, 10.0, 20.0, "aB", 3) for k in range(200)] + [(900, 50.0, 90.0, "ab", 3)], "cell_id int, lat double, lon double, place string, country int")
+    places = spark.createDataFrame([(k, "AB", 3 + k % 2, 10.0, 20.5) for k in range(200)] + [(500, "ab", 5, 10.0, 20.1)], "place_id int, name string, cc int, lat double, lon double")
+    matches = spatial.places_named(labels, places, 100.0)
+    assert matches.count() == 3  # two countries at one spot, and one place
+    got = {r["cell_id"]: (r["matches"], r["agrees"], r["nearest_cc"]) for r in spatial.country_agreement(labels, matches).collect()}
+    assert len(got) == 201 and got[7] == (201, True, 5) and got[900] == (0, None, None)
