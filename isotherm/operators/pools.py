@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from bisect import insort
 from collections.abc import Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotherm.functions import bands, calendar
+from isotherm.functions import bands
 from isotherm.operators.order_stats import tail_position
 from isotherm.schemas import BAND_COLUMNS
 
@@ -74,101 +80,91 @@ def record_value(share: Column, high_side: Column) -> Column:
     return F.when(high_side, F.get("top", (n - 1 - at).cast("int"))).otherwise(F.get("bottom", at))
 
 
-def _largest(values: Column, keep: int) -> Column:
-    return F.slice(F.sort_array(values, asc=False), 1, keep)
-
-
-def _smallest(values: Column, keep: int) -> Column:
-    return F.slice(F.sort_array(values), 1, keep)
-
-
-#: months are numbered from year 0, so a prefix of them is at most so many aligned blocks
-BLOCK_LEVELS = 16
-
-
-def _record_blocks(days: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """The months of each cell with their days, and aligned blocks of 1, 2, 4, ... months with their count and extremes.
-
-    Any run of months from the start is a union of one block per set bit of its length, so only blocks at even places are kept.
-    """
-    values = F.transform("_days", lambda d: d["v"])
-    months = days.groupBy("cell_key", "_m").agg(F.collect_list(F.struct("date", F.col("_v").alias("v"))).alias("_days"))
-    ends = months.select("cell_key", "_m", F.size("_days").cast("long").alias("_n"), _largest(values, keep).alias("_t"), _smallest(values, keep).alias("_b"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_LEVELS - 1))).alias("_level")
-    placed = ends.select("cell_key", levels, "_m", "_n", "_t", "_b").withColumn("_at", F.expr("shiftright(_m, _level)")).where("_at % 2 = 0")
-    blocks = placed.groupBy("cell_key", "_level", "_at").agg(
-        F.sum("_n").alias("_n"), _largest(F.flatten(F.collect_list("_t")), keep).alias("_t"), _smallest(F.flatten(F.collect_list("_b")), keep).alias("_b")
-    )
-    return months, blocks
-
-
-def _record_before(days: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
-    """``cell_key, date, n_all, top, bottom`` of all days before each asked day: whole months from blocks, its own month by date."""
-    months, blocks = _record_blocks(days, keep)
-    own = asked.withColumn("_m", _month_number(F.col("date")))
-    # a prefix is worked out once for all asked days of a month
-    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCK_LEVELS - 1)), lambda j: F.floor(F.col("_m") / F.pow(F.lit(2.0), j)) % 2 == 1)).alias("_level")
-    wanted = own.select("cell_key", "_m").distinct().select("cell_key", "_m", bits).withColumn("_at", F.expr("shiftright(_m, _level) - 1"))
-    prefix = wanted.join(blocks, ["cell_key", "_level", "_at"]).groupBy("cell_key", "_m").agg(
-        F.sum("_n").alias("_pn"), _largest(F.flatten(F.collect_list("_t")), keep).alias("_pt"), _smallest(F.flatten(F.collect_list("_b")), keep).alias("_pb")
-    )
-    empty = F.array().cast("array<double>")
-    earlier = F.transform(F.filter(F.coalesce("_days", F.array().cast("array<struct<date:date,v:double>>")), lambda d: d["date"] < F.col("date")), lambda d: d["v"])
-    joined = own.join(prefix, ["cell_key", "_m"], "left").join(months, ["cell_key", "_m"], "left").withColumn("_own", earlier)
-    return joined.select(
-        "cell_key",
-        "date",
-        (F.coalesce("_pn", F.lit(0)) + F.size("_own")).alias("n_all"),
-        _largest(F.concat(F.coalesce("_pt", empty), "_own"), keep).alias("top"),
-        _smallest(F.concat(F.coalesce("_pb", empty), "_own"), keep).alias("bottom"),
-    )
-
-
-def _month_number(date: Column) -> Column:
-    return (F.year(date) * 12 + F.month(date) - 1).cast("int")
-
-
-#: a leap and a common year, in which the days around an anchor are looked up
-_LEAP, _COMMON = 2000, 2001
-
-
-def _season_before(days: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
-    """``cell_key, date, window``: values of the days around each asked day's month and day, in its own and all earlier years.
-
-    The asked month-days are spread over their neighbours, not the history: a cell's history is one list per month-day,
-    and each asked month-day meets the few lists of its window once, however many years ask for it.
-    """
-    leap = F.col("_y") == _LEAP
-    lists = days.groupBy("cell_key", F.date_format("date", "MM-dd").alias("_md"), (calendar.days_in_year(F.year("date")) == 366).alias("_leap")).agg(
-        F.collect_list(F.struct("date", F.col("_v").alias("v"))).alias("_list")
-    )
-    keyed = asked.withColumn("_md", F.date_format("date", "MM-dd"))
-    # Feb 29 sits on Mar 1 in common years
-    month, day = F.substring("_md", 1, 2).cast("int"), F.substring("_md", 4, 2).cast("int")
-    kinds = keyed.select("cell_key", "_md").distinct().withColumn("_y", F.explode(F.array(F.lit(_LEAP), F.lit(_COMMON))))
-    anchor = F.date_add(F.make_date("_y", month, F.lit(1)), day - 1)
-    near = kinds.withColumn("_d", F.explode(F.sequence(F.date_sub(anchor, radius), F.date_add(anchor, radius)))).where(F.year("_d") == F.col("_y"))
-    spread = near.select("cell_key", F.col("_md").alias("_asked"), leap.alias("_leap"), F.date_format("_d", "MM-dd").alias("_md"))
-    pools = spread.join(lists, ["cell_key", "_md", "_leap"]).groupBy("cell_key", F.col("_asked").alias("_md")).agg(F.flatten(F.collect_list("_list")).alias("_pool"))
-    before = F.transform(F.filter("_pool", lambda d: d["date"] < F.col("date")), lambda d: d["v"])
-    return keyed.join(pools, ["cell_key", "_md"]).select("cell_key", "date", F.array_sort(before).alias("window"))
-
-
-def history_pools(history: DataFrame, targets: DataFrame, value: str, radius: int = WINDOW_DAYS, keep: int = ALL_TIME + 1) -> DataFrame:
+def _lists(rows: list[list[float]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(rows)), pa.float64()))
+
+
+def _extremes_before(values: list[float], counts: np.ndarray, keep: int) -> tuple[list[list[float]], list[list[float]]]:
+    """The ``keep`` largest, descending, and smallest, ascending, of the first ``n`` values for each of the rising ``counts``."""
+    high: list[float] = []
+    low: list[float] = []
+    tops, bottoms, at = [], [], 0
+    for n in counts.tolist():
+        for v in values[at:n]:
+            if len(high) < keep or v > high[0]:
+                insort(high, v)
+                del high[:-keep]
+            if len(low) < keep or v < low[-1]:
+                insort(low, v)
+                del low[keep:]
+        at = n
+        tops.append(high[::-1])
+        bottoms.append(low[:])
+    return tops, bottoms
+
+
+def _seasons_before(days: np.ndarray, values: list[float], asked: np.ndarray, counts: np.ndarray, radius: int) -> list[list[float]]:
+    """Sorted values around each asked day's month and day in its own year, up to the day, and in all earlier years."""
+    windows: list[list[float]] = [[]] * len(asked)
+    if not len(days):
+        return windows
+    month_of = asked.astype("datetime64[M]")
+    marks, mark = np.unique((month_of.astype(int) % 12) * 32 + (asked - month_of).astype(int), return_inverse=True)
+    first, last = days[0].astype("datetime64[Y]").astype(int), days[-1].astype("datetime64[Y]").astype(int)
+    years = np.arange(first, last + 1)
+    # Feb 29 sits on Mar 1 in common years; a window ends with its year
+    anchor = (years * 12 + (marks // 32)[:, None]).astype("datetime64[M]").astype("datetime64[D]") + (marks % 32)[:, None]
+    starts, ends = (y.astype("datetime64[Y]").astype("datetime64[D]") for y in (years, years + 1))
+    left = np.searchsorted(days, np.maximum(anchor - radius, starts), "left").tolist()
+    right = np.searchsorted(days, np.minimum(anchor + radius, ends - 1), "right").tolist()
+    own = (asked.astype("datetime64[Y]").astype(int) - first).tolist()
+    pools: list[list[float]] = [[] for _ in marks]
+    done = [0] * len(marks)
+    for k, m in enumerate(mark.tolist()):
+        year, pool = own[k], pools[m]
+        while done[m] < min(year, len(years)):
+            pool.extend(values[left[m][done[m]] : right[m][done[m]]])
+            pool.sort()
+            done[m] += 1
+        here = values[left[m][year] : min(right[m][year], int(counts[k]))] if 0 <= year < len(years) else []
+        windows[k] = sorted(pool + here)
+    return windows
+
+
+def history_pools(
+    history: DataFrame, targets: DataFrame, value: str, radius: int = WINDOW_DAYS, keep: int = ALL_TIME + 1, carried: Sequence[str] = ()
+) -> DataFrame:
     """What each target day had before it: the season's window and the whole record.
 
     ``window`` holds the values of the days within ``radius`` of the target's month and day
     in its own and every earlier year, ``n_all`` counts all earlier days, and ``top``/``bottom`` are the
-    most extreme ``keep`` of them. Targets meet a few blocks of months and the lists of a few month-days, never a
-    history of days. Targets need ``cell_key`` and ``date``; the result has one row per target.
+    most extreme ``keep`` of them. Targets need ``cell_key`` and ``date``; the result has one row per target, and with
+    ``carried`` columns one per row of ``targets``. One shuffle brings a cell's days together, which the calendar bounds;
+    they are walked in their order, so nothing larger than a pool is kept for a target.
     """
-    asked = targets.select("cell_key", "date").distinct()
-    days = history.where(F.col(value).isNotNull() & ~F.isnan(value)).select("cell_key", "date", F.col(value).cast("double").alias("_v"))
-    # cells that nobody asks for stay out of every shuffle below
-    days = days.join(asked.select("cell_key").distinct(), "cell_key", "left_semi").withColumn("_m", _month_number(F.col("date")))
-    record = _record_before(days, asked, keep)
-    window = _season_before(days, asked, radius)
-    return record.join(window, ["cell_key", "date"], "left").withColumn("window", F.coalesce("window", F.array().cast("array<double>")))
+    rows = targets.select("cell_key", "date", *carried)
+    rows = rows if carried else rows.distinct()
+    known = history.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col("cell_key").isNotNull() & F.col("date").isNotNull())
+    days = known.select("cell_key", "date", F.col(value).cast("double").alias("_v"), F.lit(False).alias("_target"))
+    both = rows.withColumn("_target", F.lit(True)).unionByName(days, allowMissingColumns=True)
+
+    def walk(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("date")
+        asked, past = cell.filter(cell["_target"]), cell.filter(pc.invert(cell["_target"]))
+        dates, wanted = (t["date"].fill_null(dt.date(1, 1, 1)).to_numpy().astype("datetime64[D]") for t in (past, asked))
+        # a target without a date comes last in the table and has nothing before it
+        order = np.argsort(wanted, kind="stable")
+        asked, wanted, values = asked.take(order), wanted[order], past["_v"].to_pylist()
+        counts = np.searchsorted(dates, wanted, "left")
+        tops, bottoms = _extremes_before(values, counts, keep)
+        out = asked.select(["cell_key", "date", *carried]).append_column("n_all", pa.array(counts, pa.int64()))
+        out = out.append_column("top", _lists(tops)).append_column("bottom", _lists(bottoms))
+        return out.append_column("window", _lists(_seasons_before(dates, values, wanted, counts, radius)))
+
+    lists = ", ".join(f"{c} array<double>" for c in ("top", "bottom", "window"))
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return both.groupBy("cell_key").applyInArrow(walk, f"{given}, n_all bigint, {lists}")
 
 
 def resolve_tier(df: DataFrame, estimate: Column, bucketed: bool) -> DataFrame:

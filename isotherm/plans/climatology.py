@@ -384,7 +384,9 @@ def side_cut(lst, n, share):
 
 def eval_pools(db):
     """Every day of the banded pairs with what came before it."""
-    return db.banded.join(pools.history_pools(db.banded, db.banded, "truth"), ["cell_key", "date"])
+    # stored: the days are read twice, as targets and as history
+    banded = materialize(db.banded, "banded")
+    return pools.history_pools(banded, banded, "truth", carried=[c for c in banded.columns if c not in ("cell_key", "date")])
 
 
 @query(

@@ -179,3 +179,15 @@ def test_predictive_density_is_worked_out_in_arrays(spark):
         step = (curves[k][-1]["t"] - curves[k][0]["t"]) / 90
         assert len(curves[k]) == 91 and math.isclose(sum(p["d"] for p in curves[k]) * step, 1, abs_tol=0.1)
     assert all(p["t"] is None and p["d"] is None for p in curves[2])
+
+
+def test_history_pools_take_one_shuffle(spark):
+    """Targets carry their columns through the walk of their cell: no join, and a cell that nobody asks for has no rows."""
+    days = [dt.date(2000, 1, k) for k in (1, 2, 3)]
+    rows = spark.createDataFrame([("a", d, float(k)) for k, d in enumerate(days)] + [("b", days[0], 9.0)], "cell_key string, date date, v double")
+    asked = spark.createDataFrame([("a", days[2], "x"), ("a", days[2], "y"), ("a", None, "z")], "cell_key string, date date, tag string")
+    pooled = pools.history_pools(rows, asked, "v", carried=["tag"])
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r["tag"]: (r["date"], r["n_all"], r["top"], r["bottom"], r["window"]) for r in pooled.collect()}
+    assert got == {"x": (days[2], 2, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]), "y": (days[2], 2, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]), "z": (None, 0, [], [], [])}
