@@ -11,6 +11,7 @@ from isotherm.plans.climatology import CLAIM_SQL, claims
 from isotherm.plans.evaluation import SIDED, STUDY_SQL, WET_SPLIT, out, studied, wet_bias
 from isotherm.plans.joins import MOVERS_SQL, movers
 from isotherm.plans.registry import REGISTRY, query
+from isotherm.session import materialize
 from isotherm.plans.traffic import _wind, label_repairs
 
 # ---- traffic -----------------------------------------------------------------------------
@@ -152,7 +153,9 @@ REGIME_SQL = "CASE WHEN pct < 0.6 THEN 'dry / <p60' WHEN pct < 0.8 THEN 'p60-80'
 )
 def regime_rungs(db):
     """One-sided coverage at every level, constant against conditional band, by forecast regime: all levels in one pass."""
-    rows = wet_bias(db).join(db.roles.select("cell_key", "date", "role"), ["cell_key", "date"])
+    roles = db.roles.select("cell_key", "date", "role")
+    # stored: training and test rows are read by several passes
+    rows = materialize(wet_bias(db).join(roles, ["cell_key", "date"]), "wet")
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     edges = calibrate.rain_edges(train)
     names = {p: calibrate.SIDED_NAMES[p] for p in SIDED}

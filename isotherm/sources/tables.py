@@ -113,9 +113,19 @@ class Tables:
             )
         )
 
+    @property
+    def _wide(self) -> DataFrame:
+        """The stored pairs where a query has stored them already."""
+        return self.__dict__.get("stored_pairs", self.pairs_wide)
+
+    @cached_property
+    def stored_pairs(self) -> DataFrame:
+        """The wide pairs as a stored frame, for queries that pass over them several times; ``roles`` does."""
+        return materialize(self.pairs_wide, "pairs")
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.pairs_wide.select(
+        return self._wide.select(
             "cell_key", "date", F.col("era5_tmax").alias("era5"), F.col("hres_tmax").alias("hres")
         )
 
@@ -293,13 +303,13 @@ class Tables:
         """Pairs with season, forecast version, labels and the blocked split, as a stored frame."""
         from isotherm.operators import pairs as ops
 
-        labelled = ops.tail_labels(ops.with_versions(ops.with_bias(self.pairs)))
+        labelled = ops.tail_labels(ops.with_versions(ops.with_bias(self.stored_pairs.select("cell_key", "date", F.col("era5_tmax").alias("era5"), F.col("hres_tmax").alias("hres")))))
         return materialize(ops.blocked_split(labelled), "roles")
 
     @cached_property
     def wet_pairs(self) -> DataFrame:
         """The rain pair, trace-clamped on both sides."""
-        return self.pairs_wide.select(
+        return self._wide.select(
             "cell_key",
             "date",
             bands.trace_clamp(F.col("era5_precip")).alias("era5"),

@@ -191,3 +191,13 @@ def test_history_pools_take_one_shuffle(spark):
     assert "Join" not in plan and plan.count("Exchange") == 1
     got = {r["tag"]: (r["date"], r["n_all"], r["top"], r["bottom"], r["window"]) for r in pooled.collect()}
     assert got == {"x": (days[2], 2, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]), "y": (days[2], 2, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]), "z": (None, 0, [], [], [])}
+
+
+def test_pairs_are_aggregated_once_where_roles_are_made(spark):
+    """Views made after the roles read the stored pairs, not the line items again."""
+    from isotherm.sources.tables import Tables
+
+    db = Tables(spark, "/root/testdata/sf0.001")
+    assert db.roles.count() == db.banded.count()
+    for view in (db.banded, db.wet_pairs):
+        assert not any("lineitem" in f for f in view.inputFiles())
