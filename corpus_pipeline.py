@@ -50,7 +50,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line are taken out of the texts."""
-    return lines.dedup(docs)
+    return lines.dedup(docs, stored=True)
 
 
 @stage
@@ -87,6 +87,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written before the next stage reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        before, docs = docs, materialize(step(spark, docs, sf_dir), name.split()[0].lower())
+        before, docs = docs, materialize(step(spark, docs, sf_dir), name.split()[0].lower(), "zstd")
         discard(before)  # the given table is none of ours and stays
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,12 +12,16 @@ verified on the whole sets.
 Nothing here is quadratic in a group of copies. Equal sets are one candidate, under a number of its own; a set is first compared
 with the earliest line of each of its prefix words, which settles nearly all members of a group; only sets that are still open meet
 the other lines of their words. The rarity of a word is that of one of 65,536 hash buckets, counted over all lines: the
-table has a fixed size, and any order that all lines share keeps the filters exact.
+table has a fixed size, and any order that all lines share keeps the filters exact. The words of the prefixes, and the pairs with their
+words, are worked off in ``SLICES`` parts, so that one part at a time lies on disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotherm.session import discard, free_shuffles, materialize
@@ -26,13 +30,29 @@ from isotherm.session import discard, free_shuffles, materialize
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 WHITE = " \t\x0b\f\r\n"
-#: bits of the filter that picks the documents of candidate lines; 512 KB whatever the corpus
-FILTER_BITS = 1 << 22
+#: bits of the filter that picks the candidate lines; 4 MB whatever the corpus
+FILTER_BITS = 1 << 25
+
+
+#: bits of a row's number that hold its place in its file
+PLACE_BITS = 40
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table: each row as one struct ``doc`` (no column of it can clash with those of the job), and its number ``row``."""
-    return materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+def numbered(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """Each row of ``docs`` as one struct ``doc`` (no column of it can clash with those of the job), and its number ``row``.
+
+    Rows of a Parquet table that is read as it is (``stored``) are told apart by their file and their place in it, so nothing is
+    copied. Any other frame may come out in another order when it is read again, so it is written first.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if not stored:
+        return materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), "numbered", "zstd")
+    found = docs.metadataColumn("_metadata")
+    rows = docs.select(doc, found["file_path"].alias("path"), found["row_index"].alias("at"))
+    # one short row for each file of the table
+    paths = sorted(r["path"] for r in rows.select("path").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(name, k << PLACE_BITS) for k, name in enumerate(paths)], "path string, first long")
+    return rows.join(F.broadcast(files), "path").select("doc", (F.col("first") + F.col("at")).alias("row"))
 
 
 def split_lines(text: Column) -> Column:
@@ -58,21 +78,21 @@ def by_line(rows: DataFrame) -> DataFrame:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """The rank of each bucket by the number of words in it, as one array constant, the rarest first and negative."""
+    """The rank of each bucket by the number of words in it, in the highest bits of a long, as one array constant; the rarest first and negative."""
     words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["bucket"]: r["n"] for r in counted.collect()}  # 65,536 numbers
     order = sorted(range(BUCKETS), key=lambda b: (sizes.get(b, 0), b))
     rank = [0] * BUCKETS
     for place, bucket in enumerate(order):
-        rank[bucket] = place - BUCKETS // 2
+        rank[bucket] = (place - BUCKETS // 2) << (64 - BUCKET_BITS)
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
 
 
 def keys_of(line: Column, rank: Column) -> Column:
     """The words of a line as distinct longs that sort by rarity. The bucket's rank takes the place of the bucket's bits, so none are lost."""
     hashed = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    moved = F.transform(hashed, lambda h: F.shiftleft(F.element_at(rank, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS)))
+    moved = F.transform(hashed, lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1))).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS)))
     return F.sort_array(F.array_distinct(moved))
 
 
@@ -80,10 +100,11 @@ def _matches(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters of two sets that share the words at their places ``i``."""
-    n, i, m, j = (F.col(f"{side}.{c}") for side in (a, b) for c in ("n", "i"))
-    differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+def _may_match() -> Column:
+    """Length, positional and parity filters of two sets that share the words at their places ``i``: columns a_n, a_i, a_bits, b_n, ...;
+    sizes below zero are those of settled sets."""
+    n, m, i, j = F.abs("a_n"), F.abs("b_n"), F.col("a_i"), F.col("b_i")
+    differing = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m) & (9 * differing <= n + m)
 
 
@@ -101,25 +122,40 @@ def line_sets(rows: DataFrame, rank: Column) -> DataFrame:
     sets = sized.select(*PLACE, "n", bits.alias("bits"), F.when(F.col("n") >= 4, short).alias("prefix"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"))
     # a line that comes a billion times is one row of each task
     first = F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("s")
-    single = materialize(sets.groupBy("k1", "k2").agg(first).select("s.*"), "line-sets")
+    single = materialize(sets.groupBy("k1", "k2").agg(first).select("s.*"), "line-sets", "zstd")
     free_shuffles(rows.sparkSession)
     # numbers of sorted ranges rise with the order
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = single.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
-    out = materialize(ranged.withColumn("set", F.monotonically_increasing_id()), "line-sets")
+    out = materialize(ranged.withColumn("set", F.monotonically_increasing_id()), "line-sets", "zstd")
     discard(single)
     return out
 
 
-def _prefix_words(stored: DataFrame, *more: str) -> DataFrame:
-    """``word, s``: each set under the words of its prefix."""
-    each = stored.where("prefix is not null").select("set", "n", "bits", *more, F.posexplode("prefix").alias("i", "word"))
-    return each.select("word", F.struct("set", "n", "bits", "i", *more).alias("s"))
+#: the words of the prefixes are dealt out in so many parts, one after another, since together they weigh as much as the texts
+SLICES = 4
+
+
+def _prefix_words(stored: DataFrame, part: int) -> DataFrame:
+    """``word, set, n, bits, i``: each set under those words of its prefix that are in the part."""
+    each = stored.where("prefix is not null").select("set", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    return each.where(F.pmod(F.col("word"), F.lit(SLICES)) == part).select("word", "set", "n", "bits", "i")
+
+
+def _side(words: DataFrame, side: str) -> DataFrame:
+    """The columns but ``word`` under names of one side of a pair."""
+    return words.select("word", *[F.col(c).alias(f"{side}_{c}") for c in words.columns if c != "word"])
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    """``x, y``: each pair of sets once, the later one as ``y``."""
-    return joined.select(F.least("a.set", "b.set").alias("x"), F.greatest("a.set", "b.set").alias("y")).distinct()
+def _pairs(spark: SparkSession, joined: Callable[[int], DataFrame]) -> DataFrame:
+    """``x, y``: each pair of sets once, the later one as ``y``, as a written table; ``joined`` gives the pairs ``a_set < b_set`` of a part."""
+    parts = []
+    for part in range(SLICES):
+        parts.append(materialize(joined(part).select(F.col("a_set").alias("x"), F.col("b_set").alias("y")).distinct(), "line-pairs"))
+        free_shuffles(spark)
+    pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+    discard(*parts)
+    return pairs
 
 
 def kept_lines(rows: DataFrame) -> DataFrame:
@@ -133,42 +169,54 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     free_shuffles(rows.sparkSession)
 
     # first round: each set and the earliest set of each of its prefix words
-    words = _prefix_words(stored)
-    anchors = words.groupBy("word").agg(F.min("s").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("word", "a")
-    met = words.withColumnRenamed("s", "b").join(anchors, "word").where((F.col("a.set") < F.col("b.set")) & _may_match("a", "b"))
-    settled = _later_of(rows, rank, stored, _pairs(met))
-    free_shuffles(rows.sparkSession)
-
-    # second round: sets that are still open and all other sets of their words; both sides are one shuffle, read twice
-    marked = stored.join(settled.withColumn("done", F.lit(True)), "set", "left").withColumn("open", F.col("done").isNull())
-    words = _prefix_words(marked, "open")
-    both = words.alias("l").join(words.alias("r"), F.col("l.word") == F.col("r.word")).select(F.col("l.s").alias("a"), F.col("r.s").alias("b"))
-    # the later set of a pair is the one that would go
-    both = both.where((F.col("a.set") < F.col("b.set")) & F.col("b.open") & _may_match("a", "b"))
-    late = _later_of(rows, rank, stored, _pairs(both))
-    free_shuffles(rows.sparkSession)
+    def with_earliest(part: int) -> DataFrame:
+        words = _prefix_words(stored, part)
+        first = F.min(F.struct("set", "n", "bits", "i")).alias("a")
+        anchors = words.groupBy("word").agg(first, F.count(F.lit(1)).alias("sets")).where("sets > 1").select("word", "a.*")
+        return _side(anchors, "a").join(_side(words, "b"), "word").where((F.col("a_set") < F.col("b_set")) & _may_match())
+
+    settled = _later_of(rows, rank, stored, _pairs(rows.sparkSession, with_earliest))
+
+    # second round: sets that are still open and all other sets of their words
+    done = settled.withColumn("done", F.lit(-1))
+    marked = stored.join(done, "set", "left").withColumn("n", F.col("n") * F.coalesce("done", F.lit(1)))
+
+    def with_others(part: int) -> DataFrame:
+        words = _prefix_words(marked, part)
+        both = _side(words, "a").join(_side(words, "b"), "word")
+        # the later set of a pair is the one that would go, so it must be open; a condition on both sides at once leaves them one
+        # shuffle, read twice
+        later_open = F.col("b_set") - F.col("a_set") > F.when(F.col("b_n") > 0, F.lit(0)).otherwise(F.lit((1 << 63) - 1))
+        return both.where(later_open & _may_match())
+
+    late = _later_of(rows, rank, stored, _pairs(rows.sparkSession, with_others))
     return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
 
 
 def _later_of(rows: DataFrame, rank: Column, stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``set``: the later of each pair of sets that match on all their words, as a written table."""
-    pairs = materialize(pairs, "line-pairs")
-    free_shuffles(rows.sparkSession)
+    """``set``: the later of each of the written ``pairs`` of sets that match on all their words, as a written table."""
     involved = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
     places = materialize(stored.select("set", "row", "line_no").join(involved, "set"), "line-places")
-    # a bit for each row with a candidate, in 128 parts of 4 KB: picks the rows before their lines are dealt out
-    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    # a bit for each line of a candidate, in parts of 4 KB: picks the lines before they are cut into words and dealt out
+    bit = F.pmod(F.xxhash64("row", "line_no"), F.lit(FILTER_BITS))
     bits = places.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
-    chosen = rows.withColumn("bit", bit).withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
-    whole = by_line(chosen).select("row", "line_no", "line").join(places, ["row", "line_no"]).select("set", keys_of(F.col("line"), rank).alias("keys"))
+    lines = by_line(rows).select("row", "line_no", "line", bit.alias("bit"))
+    chosen = lines.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
+    whole = materialize(chosen.select("row", "line_no", "line").join(places, ["row", "line_no"]).select("set", keys_of(F.col("line"), rank).alias("keys")), "line-words", "zstd")
+    free_shuffles(rows.sparkSession)
     x, y = (whole.select(F.col("set").alias(s), F.col("keys").alias(f"{s}_keys")) for s in "xy")
-    both = pairs.join(x, "x").join(y, "y")
     equal = _matches(F.size(F.array_intersect("x_keys", "y_keys")), F.size("x_keys"), F.size("y_keys"))
-    later = materialize(both.where(equal).select(F.col("y").alias("set")).distinct(), "line-later")
-    discard(pairs, places)
+    parts = []
+    for part in range(SLICES):  # a pair travels with the words of a set, so all pairs at once weigh more than the texts
+        both = pairs.where(F.pmod(F.xxhash64("x"), F.lit(SLICES)) == part).join(x, "x").join(y, "y")
+        parts.append(materialize(both.where(equal).select(F.col("y").alias("set")).distinct(), "line-later"))
+        free_shuffles(rows.sparkSession)
+    later = materialize(reduce(DataFrame.unionByName, parts).distinct(), "line-later")
+    discard(pairs, places, whole, *parts)
+    free_shuffles(rows.sparkSession)
     return later
 
 
@@ -192,13 +240,14 @@ def _removed(hashes: str, kept: str) -> Column:
     return F.array_except(worded, F.transform(own, lambda k: k["line_no"]))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, stored: bool = False) -> DataFrame:
     """``docs`` with matching later lines taken out of ``text`` (and ``n_chars`` counted anew where it is there).
 
     A text of which no line goes, null and empty texts among them, stays as it is; a text that loses all lines becomes
     empty. Every row is a document of its own: of exact copies with one id, the row read first keeps its lines. Columns of any name pass through.
+    ``stored`` says that ``docs`` is a Parquet table as it was read.
     """
-    rows = numbered(docs)
+    rows = numbered(docs, stored)
     lines = split_lines(F.coalesce("doc.text", F.lit("")))
     marked = rows.join(_kept_of(rows), "row", "left").select("doc", "kept", lines.alias("lines"), _hashes(lines).alias("hashes")).select("doc", "lines", _removed("hashes", "kept").alias("removed"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
@@ -210,11 +259,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     return clean.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed`` of every row: how many lines it has and which go, counted from 0."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+def report(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, removed`` of every row: how many lines it has and which go, counted from 0.
+
+    ``stored`` says that ``docs`` is a Parquet table as it was read.
+    """
+    rows = numbered(docs if stored else docs.select("doc_id", "text"), stored)
     # only hashes of lines are dealt out beside the kept lines
-    hashed = rows.select(F.col("doc.doc_id").alias("doc_id"), "row", _hashes(split_lines(F.col("doc.text"))).alias("hashes"))
+    hashed = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", _hashes(split_lines(F.coalesce("doc.text", F.lit("")))).alias("hashes"))
     joined = hashed.join(_kept_of(rows), "row", "left")
     removed = joined.select("doc_id", F.size("hashes").alias("n_lines"), _removed("hashes", "kept").alias("removed"))
     return removed.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")

@@ -105,6 +105,35 @@ def test_lines(spark):
     assert cleaned == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in docs}
 
 
+def test_a_stored_table_is_not_copied(spark, tmp_path):
+    """Rows of several files, some of one id or none: told apart by their places, without a copy of their texts."""
+    near = "a b c d e f g h i "
+    texts = ["same line", "same line", None, "", f"same line\n{near}j", "one more line", f"{near}new"]
+    ids = [3, 3, 1, 2, None, None, 9]
+    frame(spark, texts, ids).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    with session.recorded() as paths:
+        got = queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()
+    assert paths and not [p for p in paths if "numbered" in p]
+    want = lines.report(frame(spark, texts, ids)).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["n_lines"]) for r in got))) == sorted(map(repr, ((r["doc_id"], r["n_lines"]) for r in want)))
+    assert sum(r["n_removed"] for r in got) == sum(r["n_removed"] for r in want) == 3
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = [r["text"] for r in lines.dedup(table, stored=True).collect()]
+    assert sorted(t or "" for t in cleaned) == sorted(["", "", "", "one more line", f"same line\n{near}j", "", ""])
+
+
+def test_both_sides_of_the_second_round_are_one_shuffle(spark, monkeypatch):
+    """The words of the sets are dealt out once, not once for each side."""
+    joins = []
+    real = lines._pairs
+    monkeypatch.setattr(lines, "SLICES", 1)
+    monkeypatch.setattr(lines, "_pairs", lambda session_, joined: joins.append(joined(0)) or real(session_, joined))
+    lines.kept_lines(lines.numbered(frame(spark, [f"a{k // 2} b{k // 3} c{k} d{k // 2} e f g h i" for k in range(40)])))
+    rows = joins[1].collect()
+    assert all(r["a_set"] < r["b_set"] and r["b_n"] > 0 for r in rows)
+    assert "ReusedExchange" in joins[1]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_odd_rows(spark):
     docs = frame(spark, ["same line", "same line", None, "", "same line\nother", "same line"], [3, 3, 1, 2, 4, None])
     rows = sorted((r["doc_id"] or -1, r["text"]) for r in lines.dedup(docs).collect() if r["text"])
