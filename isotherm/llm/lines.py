@@ -3,16 +3,17 @@
 A line is the set of its words, lower-cased. Two lines match at a Jaccard similarity of 0.8 or more; a line that matches an
 earlier one, by document id, row and line number, is removed, whether or not the earlier one goes too. Lines without words stay.
 
-Words are ordered by rarity. If two sets match, the rarest ``n - ceil(0.8 n) + 1`` words of each share one (prefix
-filter); their sizes are within 0.8 of each other (length filter); and the words behind the shared one suffice for
-the overlap (positional filter). Beside them goes a parity filter: each set carries 64 bits, of which each word turns one over; two
+Words are ordered by rarity. If two sets match, the rarest ``n - ceil(0.8 n) + 1`` words of each share one, and in the smaller one
+it is among ``n - ceil(8 n / 9) + 1`` (prefix filter); their sizes are within 0.8 of each other (length filter); and the words behind the shared one suffice for
+the overlap (positional filter). Beside them goes a parity filter: each set carries 128 bits, of which each word turns one over; two
 sets that differ in d words differ in at most d bits, and matching ones may differ in a ninth of their sizes. What passes is
 verified on the whole sets.
 
 Nothing here is quadratic in a group of copies. Equal sets are one candidate, under a number of its own; a set is first compared
 with the earliest line of each of its prefix words, which settles nearly all members of a group; only sets that are still open meet
-the other lines of their words. The rarity of a word is that of one of 65,536 hash buckets, counted over all lines: the
-table has a fixed size, and any order that all lines share keeps the filters exact. The words of the prefixes, and the pairs with their
+the other lines of their words. The rarity of a word is the class of the number of words in one of a million hash buckets,
+counted over all lines: the table has a fixed size, and any order that all lines share keeps the filters exact. Texts are cut into words
+once, and the hashed words are stored. The words of the prefixes, and the pairs with their
 words, are worked off in ``SLICES`` parts, so that one part at a time lies on disk.
 """
 
@@ -21,14 +22,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotherm.session import discard, free_shuffles, materialize
 
 #: J >= 4/5 for sets of n and m with overlap o: 9 o >= 4 (n + m)
-BUCKET_BITS = 16
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
+#: bits of a key behind the class of its word
+KEY_BITS = 56
 WHITE = " \t\x0b\f\r\n"
 #: bits of the filter that picks the candidate lines; 4 MB whatever the corpus
 FILTER_BITS = 1 << 25
@@ -65,7 +69,7 @@ def words_of(line: Column) -> Column:
     A split at one plain character needs no regular expression, which makes it several times faster.
     """
     spaced = F.lower(line)
-    for c in WHITE[1:]:
+    for c in WHITE[1:-1]:  # a line holds no line feed
         spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
@@ -77,58 +81,87 @@ def by_line(rows: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line", F.lit(WHITE)) != "").select("*", F.xxhash64("line").alias("line_hash"))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """The rank of each bucket by the number of words in it, in the highest bits of a long, as one array constant; the rarest first and negative."""
-    words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
-    counted = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["bucket"]: r["n"] for r in counted.collect()}  # 65,536 numbers
-    order = sorted(range(BUCKETS), key=lambda b: (sizes.get(b, 0), b))
-    rank = [0] * BUCKETS
-    for place, bucket in enumerate(order):
-        rank[bucket] = (place - BUCKETS // 2) << (64 - BUCKET_BITS)
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
+def line_words(rows: DataFrame) -> DataFrame:
+    """``PLACE, hashes`` of every line with words, as a written table: its distinct words as sorted hashes. Texts are cut into words once."""
+    hashes = F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))))
+    return materialize(by_line(rows).select(*PLACE, hashes.alias("hashes")), "line-words", "zstd")
 
 
-def keys_of(line: Column, rank: Column) -> Column:
-    """The words of a line as distinct longs that sort by rarity. The bucket's rank takes the place of the bucket's bits, so none are lost."""
-    hashed = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    moved = F.transform(hashed, lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1))).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS)))
-    return F.sort_array(F.array_distinct(moved))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def rarity(words: DataFrame) -> Column:
+    """The class of each bucket by the number of words in it, one byte each, as one binary constant: 0 for a single word, which no
+    other line has, then four classes for each doubling."""
+    counted = words.select(F.explode("hashes").alias("h")).groupBy(_bucket(F.col("h")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    classes = np.zeros(BUCKETS, np.uint8)  # as many numbers whatever the corpus
+    n = counted.column("n").to_numpy()
+    classes[counted.column("bucket").to_numpy()] = np.where(n > 1, np.minimum(4 * np.log2(n), 127), 0)
+    return F.lit(classes.tobytes())
+
+
+def keys_of(hashes: Column, classes: Column) -> Column:
+    """The hashed words as longs that sort by rarity: the class of the word, then the high bits of its hash."""
+
+    def key(h: Column) -> Column:
+        found = F.ascii(F.substring(classes, _bucket(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(found.cast("long"), KEY_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - KEY_BITS))
+
+    return F.sort_array(F.transform(hashes, key))
 
 
 def _matches(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
+def _prefix(n: Column, share: tuple[int, int]) -> Column:
+    """How many of the rarest words of a set hold one of any ``share`` (a fraction) of its words."""
+    return n - F.ceil(n * share[0] / share[1]).cast("int") + 1
+
+
+#: of the words of the larger set, and of those of the smaller one, the overlap of two matching sets has at least so much
+OF_LARGER, OF_SMALLER = (4, 5), (8, 9)
+
+
 def _may_match() -> Column:
-    """Length, positional and parity filters of two sets that share the words at their places ``i``: columns a_n, a_i, a_bits, b_n, ...;
+    """Prefix, length, positional and parity filters of two sets that share the words at their places ``i``: columns a_n, a_i, a_every, a_odd, b_n, ...;
     sizes below zero are those of settled sets."""
     n, m, i, j = F.abs("a_n"), F.abs("b_n"), F.col("a_i"), F.col("b_i")
-    differing = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m) & (9 * differing <= n + m)
+    every, odd = (F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in ("every", "odd"))
+    differing = F.bit_count(every.bitwiseXOR(odd)) + F.bit_count(odd)
+    # the rarest word of both lies in the shorter prefix of the smaller set
+    early = F.when(n <= m, i < _prefix(n, OF_SMALLER)).otherwise(j < _prefix(m, OF_SMALLER))
+    return (9 * differing <= n + m) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _matches(1 + F.least(n - i, m - j) - 1, n, m) & early
 
 
 ORDER = ("id", "row", "line_no")
 PLACE = (*ORDER, "line_hash")
 
 
-def line_sets(rows: DataFrame, rank: Column) -> DataFrame:
-    """One row per distinct set of words, as a written table: its earliest line, size, parity bits and prefix, and its number ``set``,
-    which rises with the place of that line."""
-    sized = by_line(rows).select(*PLACE, keys_of(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
-    # sets of up to three words match only equal sets, so they need no prefix; 40 bits of a word suffice to meet by
-    short = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda k: k.bitwiseAND(F.lit((1 << 40) - 1)))
-    bits = F.expr("aggregate(keys, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63L AS INT)))")
-    sets = sized.select(*PLACE, "n", bits.alias("bits"), F.when(F.col("n") >= 4, short).alias("prefix"), F.xxhash64("keys").alias("k1"), F.xxhash64(F.lit(7), "keys").alias("k2"))
+def line_sets(words: DataFrame, classes: Column) -> DataFrame:
+    """One row per distinct set of words, as a written table: its earliest line, size, 128 parity bits and prefix, and its number ``set``,
+    which rises with the place of that line. Words that no other line has are null in the prefix."""
+    spark = words.sparkSession
+    equal = words.select(*ORDER, F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"))
     # a line that comes a billion times is one row of each task
-    first = F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("s")
-    single = materialize(sets.groupBy("k1", "k2").agg(first).select("s.*"), "line-sets", "zstd")
-    free_shuffles(rows.sparkSession)
+    single = materialize(equal.groupBy("k1", "k2").agg(F.min(F.struct(*ORDER)).alias("s")).select("s.*"), "line-first", "zstd")
+    free_shuffles(spark)
     # numbers of sorted ranges rise with the order
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = single.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
-    out = materialize(ranged.withColumn("set", F.monotonically_increasing_id()), "line-sets", "zstd")
-    discard(single)
+    order = materialize(ranged.select("row", "line_no", F.monotonically_increasing_id().alias("set")), "line-order", "zstd")
+    n = F.size("hashes")
+    # sets of up to three words match only equal sets, so they need no prefix; 40 bits of a word suffice to meet by
+    rarest = F.slice(keys_of(F.col("hashes"), classes), 1, _prefix(n, OF_LARGER))
+    short = F.transform(rarest, lambda k: F.when(k >= (1 << KEY_BITS), k.bitwiseAND(F.lit((1 << 40) - 1))))
+    # the parity of all words, and that of those with an odd seventh bit; the others are what is between
+    every = F.expr("aggregate(hashes, 0L, (b, h) -> b ^ shiftleft(1L, cast(h & 63L AS INT)))")
+    odd = F.expr("aggregate(hashes, 0L, (b, h) -> b ^ shiftleft(shiftright(h, 6) & 1L, cast(h & 63L AS INT)))")
+    sized = words.select(*PLACE, n.alias("n"), every.alias("every"), odd.alias("odd"), F.when(n >= 4, short).alias("prefix"))
+    out = materialize(sized.join(order, ["row", "line_no"]).select("set", *PLACE, "n", "every", "odd", "prefix"), "line-sets", "zstd")
+    discard(single, order)
+    free_shuffles(spark)
     return out
 
 
@@ -137,9 +170,9 @@ SLICES = 4
 
 
 def _prefix_words(stored: DataFrame, part: int) -> DataFrame:
-    """``word, set, n, bits, i``: each set under those words of its prefix that are in the part."""
-    each = stored.where("prefix is not null").select("set", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    return each.where(F.pmod(F.col("word"), F.lit(SLICES)) == part).select("word", "set", "n", "bits", "i")
+    """``word, set, n, every, odd, i``: each set under those words of its prefix that are in the part."""
+    each = stored.where("prefix is not null").select("set", "n", "every", "odd", F.posexplode("prefix").alias("i", "word"))
+    return each.where(F.pmod(F.col("word"), F.lit(SLICES)) == part).select("word", "set", "n", "every", "odd", "i")
 
 
 def _side(words: DataFrame, side: str) -> DataFrame:
@@ -164,18 +197,17 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     ``id`` is the document's (the smallest long for a null one). Every row is a document of its own; rows of one id are
     ordered by their numbers.
     """
-    rank = rarity(by_line(rows))
-    stored = line_sets(rows, rank)
-    free_shuffles(rows.sparkSession)
+    words = line_words(rows)
+    stored = line_sets(words, rarity(words))
 
-    # first round: each set and the earliest set of each of its prefix words
+    # first round: each set and the earliest set of each word of its shorter prefix, which settles what it can
     def with_earliest(part: int) -> DataFrame:
-        words = _prefix_words(stored, part)
-        first = F.min(F.struct("set", "n", "bits", "i")).alias("a")
-        anchors = words.groupBy("word").agg(first, F.count(F.lit(1)).alias("sets")).where("sets > 1").select("word", "a.*")
-        return _side(anchors, "a").join(_side(words, "b"), "word").where((F.col("a_set") < F.col("b_set")) & _may_match())
+        rarest = _prefix_words(stored, part).where(F.col("i") < _prefix(F.col("n"), OF_SMALLER))
+        first = [F.min_by(c, "set").alias(f"a_{c}") for c in ("n", "every", "odd", "i")]
+        anchors = rarest.groupBy("word").agg(F.min("set").alias("a_set"), *first, F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+        return anchors.join(_side(rarest, "b"), "word").where((F.col("a_set") < F.col("b_set")) & _may_match())
 
-    settled = _later_of(rows, rank, stored, _pairs(rows.sparkSession, with_earliest))
+    settled = _later_of(words, stored, _pairs(rows.sparkSession, with_earliest))
 
     # second round: sets that are still open and all other sets of their words
     done = settled.withColumn("done", F.lit(-1))
@@ -189,34 +221,35 @@ def kept_lines(rows: DataFrame) -> DataFrame:
         later_open = F.col("b_set") - F.col("a_set") > F.when(F.col("b_n") > 0, F.lit(0)).otherwise(F.lit((1 << 63) - 1))
         return both.where(later_open & _may_match())
 
-    late = _later_of(rows, rank, stored, _pairs(rows.sparkSession, with_others))
+    late = _later_of(words, stored, _pairs(rows.sparkSession, with_others))
+    discard(words)
     return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
 
 
-def _later_of(rows: DataFrame, rank: Column, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+def _later_of(words: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
     """``set``: the later of each of the written ``pairs`` of sets that match on all their words, as a written table."""
     involved = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
     places = materialize(stored.select("set", "row", "line_no").join(involved, "set"), "line-places")
-    # a bit for each line of a candidate, in parts of 4 KB: picks the lines before they are cut into words and dealt out
+    # a bit for each line of a candidate, in parts of 4 KB: picks the lines before they are dealt out
     bit = F.pmod(F.xxhash64("row", "line_no"), F.lit(FILTER_BITS))
     bits = places.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
-    lines = by_line(rows).select("row", "line_no", "line", bit.alias("bit"))
+    lines = words.select("row", "line_no", "hashes", bit.alias("bit"))
     chosen = lines.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
-    whole = materialize(chosen.select("row", "line_no", "line").join(places, ["row", "line_no"]).select("set", keys_of(F.col("line"), rank).alias("keys")), "line-words", "zstd")
-    free_shuffles(rows.sparkSession)
-    x, y = (whole.select(F.col("set").alias(s), F.col("keys").alias(f"{s}_keys")) for s in "xy")
+    whole = materialize(chosen.select("row", "line_no", "hashes").join(places, ["row", "line_no"]).select("set", "hashes"), "line-whole", "zstd")
+    free_shuffles(words.sparkSession)
+    x, y = (whole.select(F.col("set").alias(s), F.col("hashes").alias(f"{s}_keys")) for s in "xy")
     equal = _matches(F.size(F.array_intersect("x_keys", "y_keys")), F.size("x_keys"), F.size("y_keys"))
     parts = []
     for part in range(SLICES):  # a pair travels with the words of a set, so all pairs at once weigh more than the texts
         both = pairs.where(F.pmod(F.xxhash64("x"), F.lit(SLICES)) == part).join(x, "x").join(y, "y")
         parts.append(materialize(both.where(equal).select(F.col("y").alias("set")).distinct(), "line-later"))
-        free_shuffles(rows.sparkSession)
+        free_shuffles(words.sparkSession)
     later = materialize(reduce(DataFrame.unionByName, parts).distinct(), "line-later")
     discard(pairs, places, whole, *parts)
-    free_shuffles(rows.sparkSession)
+    free_shuffles(words.sparkSession)
     return later
 
 

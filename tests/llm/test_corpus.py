@@ -134,6 +134,26 @@ def test_both_sides_of_the_second_round_are_one_shuffle(spark, monkeypatch):
     assert "ReusedExchange" in joins[1]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_lines_that_differ_are_not_compared(spark, monkeypatch):
+    """Long lines that share their rarest words by chance are told apart before their words are compared."""
+    random_ = random.Random(8)
+    words = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(random_.sample(words, 170)) for _ in range(120)]
+    texts.append(texts[7].replace(" w1", " x1", 1) + " more")
+    compared, real = [], lines._later_of
+    monkeypatch.setattr(lines, "_later_of", lambda *a: compared.append(a[-1].count()) or real(*a))
+    found = {r["doc_id"]: list(r["removed"]) for r in lines.report(frame(spark, texts)).collect()}
+    assert found == plain_removed(list(enumerate(texts))) and found[120] == [0]
+    assert sum(compared) < 10
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    cuts, real = [], lines.words_of
+    monkeypatch.setattr(lines, "words_of", lambda line: cuts.append(line) or real(line))
+    lines.kept_lines(lines.numbered(frame(spark, ["a b c d e f g h i j", "a b c d e f g h i k", "z"])))
+    assert len(cuts) == 1
+
+
 def test_lines_odd_rows(spark):
     docs = frame(spark, ["same line", "same line", None, "", "same line\nother", "same line"], [3, 3, 1, 2, 4, None])
     rows = sorted((r["doc_id"] or -1, r["text"]) for r in lines.dedup(docs).collect() if r["text"])
