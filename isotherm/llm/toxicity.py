@@ -60,15 +60,28 @@ def hashed(part: str) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
+class Parts(dict):
+    """``parts`` of a word, remembered: words come again from text to text."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) >= MEMORY:
+            self.clear()
+        found = parts(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 def leaning_features(known: DataFrame) -> np.ndarray:
     """Hashes, ascending, of all words and beginnings of ``text, y`` rows that lean to toxic documents: in three or more
     of them, with a z-score of the log odds over 1.5."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_parts = Parts()
         for batch in batches:
             hits, all_rows = Counter(), Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                words = {p for w in set(TOKEN.findall(text.lower())) for p in parts(w)}
+                words = set().union(*map(known_parts.__getitem__, set(TOKEN.findall(text.lower()))))
                 all_rows.update(words)
                 if y:
                     hits.update(words)
@@ -92,12 +105,19 @@ class Features(dict):
     """Features of a word, remembered: ``word -> ids``."""
 
     def __init__(self, hashes: np.ndarray, weights: int):
-        self.slots = {h: k % weights for k, h in enumerate(hashes.tolist())}
+        # digests are unsigned
+        self.slots = {h: k % weights for k, h in enumerate(hashes.view(np.uint64).tolist())}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMORY:
             self.clear()
-        found = tuple(self.slots[h] for h in map(hashed, parts(word)) if h in self.slots)
+        slots, digest = self.slots, xxhash.xxh64_intdigest
+        raw = word.encode("utf-8", "surrogatepass")
+        if len(raw) == len(word):  # a beginning of the letters is one of the bytes
+            own = [raw, *(b"^" + raw[:k] for k in BEGINNINGS if len(raw) >= k)]
+        else:
+            own = [p.encode("utf-8", "surrogatepass") for p in parts(word)]
+        found = tuple(slots[h] for h in map(digest, own) if h in slots)
         if len(word) <= 64:
             self[word] = found
         return found
@@ -105,14 +125,14 @@ class Features(dict):
 
 def features_of(text: str, features: Features) -> tuple[list[tuple[int, int, list[int]]], int]:
     """``(start, end, features)`` of sentences that have any, and the number of the others."""
-    found, plain = [], 0
+    found, plain, of_word = [], 0, features.__getitem__
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: keep the places right
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     for m in SENTENCE.finditer(low):
-        own = sorted({k for w in TOKEN.findall(m[0]) for k in features[w]})
+        own = set().union(*map(of_word, TOKEN.findall(m[0])))
         if own:
-            found.append((m.start(), m.end(), own))
+            found.append((m.start(), m.end(), sorted(own)))
         else:
             plain += 1
     return found, plain
@@ -141,7 +161,8 @@ def fit(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     # equal rows weigh as often as they come, so they are stored once with their number
     shape = map_batches(known.select("text", "y"), "y int, plain int, sentences array<array<int>>", compact)
-    rows = materialize(shape.groupBy("y", "plain", "sentences").agg(F.count(F.lit(1)).alias("n")).coalesce(TASKS), "toxicity-known")
+    distinct = shape.groupBy("y", "plain", "sentences").agg(F.count(F.lit(1)).alias("n")).coalesce(TASKS)
+    rows = materialize(distinct.mapInArrow(packed, ", ".join(f"{c} binary" for c in PACKED)), "toxicity-known")
     weights = np.zeros(size + 1)
     weights[-1] = -5.0
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
@@ -152,29 +173,41 @@ def fit(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes, weights
 
 
+#: what ``packed`` holds of a batch, in the order of its columns, and how
+PACKED = {"y": np.int8, "plain": np.int32, "n": np.int64, "sentences": np.int32, "size": np.int32, "ids": np.int32}
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of training rows as one row of plain numbers, which every step reads as they are: labels, plain sentences,
+    copies and sentences of the rows, features of the sentences, and the features."""
+    for batch in batches:
+        if batch.num_rows:
+            sentences = batch.column("sentences")
+            lists = sentences.flatten()
+            numbers = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "plain", "n")}
+            numbers |= {"sentences": np.diff(sentences.offsets.to_numpy()), "size": np.diff(lists.offsets.to_numpy()), "ids": lists.flatten().to_numpy(zero_copy_only=False)}
+            yield pa.RecordBatch.from_arrays([pa.array([numbers[c].astype(t).tobytes()], pa.binary()) for c, t in PACKED.items()], list(PACKED))
+
+
 def _gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """Mean gradient of the noisy-or log loss over all rows."""
+    """Mean gradient of the noisy-or log loss over all ``packed`` rows."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(len(weights)), 0
         bias = weights[-1]
         for batch in batches:
-            count = batch.num_rows
-            if not count:
-                continue
-            y, plain, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "plain", "n"))
-            sentences = batch.column("sentences")
-            lists = sentences.flatten()
-            owner = np.repeat(np.arange(count), np.diff(sentences.offsets.to_numpy()))
-            ids, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            inside = np.repeat(np.arange(len(lists)), size)
-            z = bias + np.bincount(inside, weights[ids], len(lists))
-            harm = np.bincount(owner, softplus(z), count) + plain * softplus(bias)
-            slope = n * np.where(y > 0, -1 / np.expm1(np.maximum(harm, 1e-12)), 1.0)
-            own = slope[owner] / (1 + np.exp(-z))
-            total[:-1] += np.bincount(ids, own[inside], len(weights) - 1)
-            total[-1] += own.sum() + (slope * plain).sum() / (1 + np.exp(-bias))
-            seen += n.sum()
+            for row in batch.to_pylist():
+                y, plain, n, sentences, size, ids = (np.frombuffer(row[c], t) for c, t in PACKED.items())
+                count = len(y)
+                owner = np.repeat(np.arange(count), sentences)
+                inside = np.repeat(np.arange(len(size)), size)
+                z = bias + np.bincount(inside, weights[ids], len(size))
+                harm = np.bincount(owner, softplus(z), count) + plain * softplus(bias)
+                slope = n * np.where(y > 0, -1 / np.expm1(np.maximum(harm, 1e-12)), 1.0)
+                own = slope[owner] / (1 + np.exp(-z))
+                total[:-1] += np.bincount(ids, own[inside], len(weights) - 1)
+                total[-1] += own.sum() + (slope * plain).sum() / (1 + np.exp(-bias))
+                seen += n.sum()
         at = np.append(np.flatnonzero(total), len(total))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(total, seen)[at])], ["k", "v"])
 
@@ -188,12 +221,18 @@ def score_text(text: str, features: Features, weights: Sequence[float]) -> tuple
     """The document's score and ``(start, end, score)`` of its offending sentences."""
     found, plain = features_of(text, features)
     bias = weights[-1]
-    z = [bias + sum(weights[k] for k in own) for _, _, own in found]
-    harm = float(sum(softplus(v) for v in z) + plain * softplus(bias))
-    own = [(s, e, 1 / (1 + math.exp(-min(max(v, -700), 700)))) for (s, e, _), v in zip(found, z)]
+    z = [bias + sum([weights[k] for k in own]) for _, _, own in found]
+    harm = sum(map(_softplus, z)) + plain * _softplus(bias)
+    # below zero a score is under a half; a little room for rounding
+    own = [(s, e, 1 / (1 + math.exp(-min(v, 700)))) for (s, e, _), v in zip(found, z) if v > -1e-6]
     return -math.expm1(-harm), [x for x in own if x[2] >= OFFENDS]
 
 
+def _softplus(z: float) -> float:
+    """``softplus`` of one number, which numpy is slow for."""
+    return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted, sentences`` of every row; ``sentences`` lists start, end and score of offending ones.
 

@@ -286,3 +286,31 @@ def test_the_pipeline_clears_up(spark):
 
 def test_queries_have_stable_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
+
+
+def test_toxicity_steps_read_packed_rows(spark, monkeypatch):
+    """The steps read a few rows of plain numbers, not one nested list for each text; what they learn is that of all texts."""
+    texts = [("bad worse words here. Calm rest", 1)] * 7 + [("bad worse again", 1)] * 9 + [(f"calm words {k}. And more", 0) for k in range(80)]
+    tables, real = [], toxicity._gradient
+    monkeypatch.setattr(toxicity, "_gradient", lambda rows, weights: tables.append((rows, weights)) or real(rows, weights))
+    hashes, weights = toxicity.fit(spark.createDataFrame(texts, "text string, y int"))
+    rows, start = tables[0]
+    assert set(rows.columns) == set(toxicity.PACKED) and rows.count() <= toxicity.TASKS
+    features = toxicity.Features(hashes, len(weights) - 1)
+    want = np.zeros_like(start)
+    for text, y in texts:
+        found, plain = toxicity.features_of(text, features)
+        z = [start[-1] + start[own].sum() for _, _, own in found]
+        slope = -1 / math.expm1(sum(map(toxicity.softplus, z)) + plain * toxicity.softplus(start[-1])) if y else 1
+        for (_, _, own), v in zip(found, z):
+            want[own] += slope / (1 + math.exp(-v)) / len(texts)
+            want[-1] += slope / (1 + math.exp(-v)) / len(texts)
+        want[-1] += plain * slope / (1 + math.exp(-start[-1])) / len(texts)
+    assert np.allclose(real(rows, start), want, rtol=1e-9, atol=1e-12)
+
+
+def test_features_of_words_of_any_letters():
+    words = ["naïveté", "plain", "plainest", "ß", "日本語の文章", "a" * 70]
+    hashes = np.unique(np.array([toxicity.hashed(p) for w in words for p in toxicity.parts(w)], np.int64))
+    features, place = toxicity.Features(hashes, len(hashes)), {h: k for k, h in enumerate(hashes.tolist())}
+    assert all(features[w] == tuple(place[toxicity.hashed(p)] for p in toxicity.parts(w)) for w in words)
