@@ -67,6 +67,9 @@ def linked(prints: DataFrame, bits: int = 3) -> DataFrame:
     """``a, b`` (a < b) of distinct fingerprints at ``bits`` (at most 3) or fewer differing bits, each pair once.
 
     A pair whose halves both are within one bit meets in both; it is kept from the first only.
+
+    Spark sizes the keys by the fingerprints they come from and knows nothing of their 66 rows each, so it would broadcast
+    one side of the join; the hint has both sides dealt out at any size.
     """
     if bits > 3:
         raise ValueError("two halves cover at most three differing bits")
@@ -81,7 +84,7 @@ def linked(prints: DataFrame, bits: int = 3) -> DataFrame:
         & ((F.col("a.half") == 0) | (first_half > 1))
     )
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.half") == F.col("b.half"))
-    return a.join(b, same & met).select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
+    return a.hint("merge").join(b, same & met).select(F.col("a.print").alias("a"), F.col("b.print").alias("b"))
 
 
 def _placed(prints: DataFrame, bits: int) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isotherm import session
@@ -56,6 +57,19 @@ def test_simhash_links(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def joins_of(frame):
+    """The joins that ran for a frame."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return re.findall(r"\b(\w+Join)\b", plan)
+
+
+def test_simhash_keys_are_never_broadcast(spark):
+    # 66 keys for each fingerprint, which Spark sizes as one
+    prints = spark.range(3000).select(F.xxhash64("id").alias("print")).distinct()
+    assert joins_of(simhash.linked(prints)) == ["SortMergeJoin"]
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"w{k}" for k in range(300))
     texts = [base, base, base.replace("w150", "x"), "other words entirely here", "", None, base]
