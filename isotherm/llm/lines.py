@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotherm.session import discard, free_shuffles, materialize
+from isotherm.session import discard, free_shuffles, materialize, weighed
 
 #: J >= 4/5 for sets of n and m with overlap o: 9 o >= 4 (n + m)
 BUCKET_BITS = 20
@@ -159,7 +159,7 @@ def line_sets(words: DataFrame, classes: Column) -> DataFrame:
     every = F.expr("aggregate(hashes, 0L, (b, h) -> b ^ shiftleft(1L, cast(h & 63L AS INT)))")
     odd = F.expr("aggregate(hashes, 0L, (b, h) -> b ^ shiftleft(shiftright(h, 6) & 1L, cast(h & 63L AS INT)))")
     sized = words.select(*PLACE, n.alias("n"), every.alias("every"), odd.alias("odd"), F.when(n >= 4, short).alias("prefix"))
-    out = materialize(sized.join(order, ["row", "line_no"]).select("set", *PLACE, "n", "every", "odd", "prefix"), "line-sets", "zstd")
+    out = materialize(sized.join(weighed(order), ["row", "line_no"]).select("set", *PLACE, "n", "every", "odd", "prefix"), "line-sets", "zstd")
     discard(single, order)
     free_shuffles(spark)
     return out
@@ -205,17 +205,18 @@ def kept_lines(rows: DataFrame) -> DataFrame:
         rarest = _prefix_words(stored, part).where(F.col("i") < _prefix(F.col("n"), OF_SMALLER))
         first = [F.min_by(c, "set").alias(f"a_{c}") for c in ("n", "every", "odd", "i")]
         anchors = rarest.groupBy("word").agg(F.min("set").alias("a_set"), *first, F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-        return anchors.join(_side(rarest, "b"), "word").where((F.col("a_set") < F.col("b_set")) & _may_match())
+        # Spark sizes the words of a prefix as one row, so the hint keeps them from being broadcast
+        return anchors.hint("merge").join(_side(rarest, "b"), "word").where((F.col("a_set") < F.col("b_set")) & _may_match())
 
     settled = _later_of(words, stored, _pairs(rows.sparkSession, with_earliest))
 
     # second round: sets that are still open and all other sets of their words
-    done = settled.withColumn("done", F.lit(-1))
+    done = weighed(settled).withColumn("done", F.lit(-1))
     marked = stored.join(done, "set", "left").withColumn("n", F.col("n") * F.coalesce("done", F.lit(1)))
 
     def with_others(part: int) -> DataFrame:
         words = _prefix_words(marked, part)
-        both = _side(words, "a").join(_side(words, "b"), "word")
+        both = _side(words, "a").hint("merge").join(_side(words, "b"), "word")
         # the later set of a pair is the one that would go, so it must be open; a condition on both sides at once leaves them one
         # shuffle, read twice
         later_open = F.col("b_set") - F.col("a_set") > F.when(F.col("b_n") > 0, F.lit(0)).otherwise(F.lit((1 << 63) - 1))
@@ -223,7 +224,7 @@ def kept_lines(rows: DataFrame) -> DataFrame:
 
     late = _later_of(words, stored, _pairs(rows.sparkSession, with_others))
     discard(words)
-    return stored.select("set", *PLACE).join(settled.unionByName(late), "set", "left_anti").select(*PLACE)
+    return stored.select("set", *PLACE).join(weighed(settled.unionByName(late)), "set", "left_anti").select(*PLACE)
 
 
 def _later_of(words: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def _later_of(words: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFram
     is_set = F.getbit(byte, (at % 8).cast("int")) == 1
     lines = words.select("row", "line_no", "hashes", bit.alias("bit"))
     chosen = lines.withColumn("part", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "part").where(is_set)
-    whole = materialize(chosen.select("row", "line_no", "hashes").join(places, ["row", "line_no"]).select("set", "hashes"), "line-whole", "zstd")
+    whole = materialize(chosen.select("row", "line_no", "hashes").join(weighed(places), ["row", "line_no"]).select("set", "hashes"), "line-whole", "zstd")
     free_shuffles(words.sparkSession)
     x, y = (whole.select(F.col("set").alias(s), F.col("hashes").alias(f"{s}_keys")) for s in "xy")
     equal = _matches(F.size(F.array_intersect("x_keys", "y_keys")), F.size("x_keys"), F.size("y_keys"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from isotherm.llm.common import ROW, byte_words, map_batches, numbered, texts
 from isotherm.llm.graph import components
-from isotherm.session import materialize
+from isotherm.session import materialize, weighed
 
 SEED = 42
 HALVES, HALF_BITS = 2, 32
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
     ids = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = placed.join(ids, "root").select("print", "component_id")
     # rows of one fingerprint may be a third of all; the table beside them has one row for each fingerprint
-    return rows.join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return weighed(rows).join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:

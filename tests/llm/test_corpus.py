@@ -298,6 +298,24 @@ def test_the_pipeline_clears_up(spark):
     assert [p for p in left if there(p)] == [p for p in left if "/secret-" in p]
 
 
+def test_line_tables_of_many_rows_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes written tables by their files and exploded words as one row; the joins go by the number of rows."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 20, raising=False)
+    plans, real = {}, lines.materialize
+
+    def written(table, name, *codec):
+        plans.setdefault(name, []).append(table._jdf.queryExecution().executedPlan().toString())
+        return real(table, name, *codec)
+
+    monkeypatch.setattr(lines, "materialize", written)
+    texts = ["\n".join(f"line {k % 40} of {j} some words that come in all {k}" for j in range(4)) for k in range(60)]
+    kept = lines.kept_lines(lines.numbered(frame(spark, texts)))
+    found = {name: re.findall(r"\b(\w+Join)\b", " ".join(p)) for name, p in plans.items()}
+    assert found["line-sets"] == ["SortMergeJoin"]
+    assert "SortMergeJoin" in found["line-pairs"] and "BroadcastHashJoin" not in found["line-pairs"]
+    assert joins_of(kept) == ["SortMergeJoin"]
+
+
 def test_queries_have_stable_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
