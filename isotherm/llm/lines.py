@@ -42,14 +42,19 @@ FILTER_BITS = 1 << 25
 PLACE_BITS = 40
 
 
+def _as_read(docs: DataFrame) -> bool:
+    """Whether a frame is a table as it was read, without any step on it."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame, stored: bool = False) -> DataFrame:
     """Each row of ``docs`` as one struct ``doc`` (no column of it can clash with those of the job), and its number ``row``.
 
     Rows of a Parquet table that is read as it is (``stored``) are told apart by their file and their place in it, so nothing is
-    copied. Any other frame may come out in another order when it is read again, so it is written first.
+    copied. Any other frame may come out in another order when it is read again, so it is written first, ``stored`` or not.
     """
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    if not stored:
+    if not (stored and _as_read(docs)):
         return materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), "numbered", "zstd")
     found = docs.metadataColumn("_metadata")
     rows = docs.select(doc, found["file_path"].alias("path"), found["row_index"].alias("at"))

@@ -346,3 +346,17 @@ def test_features_of_words_of_any_letters():
     hashes = np.unique(np.array([toxicity.hashed(p) for w in words for p in toxicity.parts(w)], np.int64))
     features, place = toxicity.Features(hashes, len(hashes)), {h: k for k, h in enumerate(hashes.tolist())}
     assert all(features[w] == tuple(place[toxicity.hashed(p)] for p in toxicity.parts(w)) for w in words)
+
+
+def test_stored_lines_of_any_frame(spark, tmp_path):
+    """Rows of a table as it was read are told apart by their places in its files; those of any other frame are written first."""
+    path = str(tmp_path / "docs")
+    frame(spark, ["same line here now", "another line of text", "same line here now"], [3, 1, 3]).repartition(2).write.parquet(path)
+    read = spark.read.parquet(path)
+    again = spark.createDataFrame(read.collect(), read.schema)
+    want = [(1, 1, []), (3, 1, []), (3, 1, [0])]
+    for docs, copied in ((read, False), (read.where("doc_id > 0"), True), (again, True), (read.unionByName(read.limit(0)), True)):
+        with session.recorded() as paths:
+            rows = lines.report(docs, stored=True).select("doc_id", "n_lines", "removed").collect()
+        assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+        assert any("/numbered-" in p for p in paths) == copied
